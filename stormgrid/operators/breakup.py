@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -53,7 +53,7 @@ def track_links(overlaps: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def breakup_objects(
     cells: DataFrame,
-    min_steps: int,
+    min_steps: int | Column,
     avg_parts: float = 1.5,
     wrap_nx: int | None = None,
     tile: Tile = Tile(),
@@ -62,7 +62,7 @@ def breakup_objects(
 
     ``cells`` has ``run_id, t, y, x, object_key``. Bodies are slice components; they are
     chained over time by ``track_links`` as one graph problem, not step by step. Tracks
-    shorter than ``min_steps`` are dropped. The result has ``object_id`` instead of
+    shorter than ``min_steps`` (a number, or a column over ``run_id``) are dropped. The result has ``object_id`` instead of
     ``object_key``.
     """
     body = Mask(F.lit(True), slice_only=True, within="object_key")

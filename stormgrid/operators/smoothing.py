@@ -8,6 +8,8 @@ or the time series of a single cell. Fields must be dense along the filtered axe
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,12 +62,40 @@ def _length(axis: str, lengths: dict[str, int]) -> Column:
     return F.lit(lengths[axis]) if axis in lengths else F.col("_nt")
 
 
-def _frame_sum(col: str, w, before: int, after: int) -> Column:
-    if before + after < WIDE_FRAME:
-        return F.sum(col).over(w.rowsBetween(-before, after))
-    return F.lead(f"_run_{col}", after).over(w) - F.coalesce(
-        F.lag(f"_run_{col}", before + 1).over(w), F.lit(0.0)
-    )
+@dataclass(frozen=True)
+class _Frame:
+    """Window from ``start`` of ``width`` rows, plus ``turns`` whole mirror periods."""
+
+    start: int
+    width: int
+    turns: int
+
+    @property
+    def reach(self) -> tuple[int, int]:
+        return max(-self.start, 0), max(self.start + self.width - 1, 0)
+
+    def total(self, col: str, w) -> Column:
+        last = self.start + self.width - 1
+        if self.width == 0:
+            part = F.lit(0.0)
+        elif self.width < WIDE_FRAME:
+            part = F.sum(col).over(w.rowsBetween(self.start, last))
+        else:
+            before = F.lag(f"_run_{col}", 1 - self.start).over(w)
+            part = F.lag(f"_run_{col}", -last).over(w) - F.coalesce(before, F.lit(0.0))
+        return part + F.col(f"_row_{col}") * (2 * self.turns) if self.turns else part
+
+
+def _frame(size: int, n: int | None) -> _Frame:
+    """Boxcar of ``size``; a box wider than the mirrored axis repeats whole periods.
+
+    Any 2n neighbours of the mirrored axis hold each cell twice, so only the rest of
+    the box has to be looked at, and padding never exceeds two axis lengths.
+    """
+    if n is None:
+        return _Frame(-(size // 2), size, 0)
+    turns, rest = divmod(size, 2 * n)
+    return _Frame(-((size // 2) % (2 * n)), rest, turns)
 
 
 def uniform_smooth(
@@ -91,18 +121,19 @@ def uniform_smooth(
         if not active:
             continue
         n = _length(axis, lengths)
-        span = {o: (s // 2, s - 1 - s // 2) for o, s in active.items()}
-        before = max(b for b, _ in span.values())
-        after = max(a for _, a in span.values())
+        frames = {o: _frame(size, lengths.get(axis)) for o, size in active.items()}
+        before = max(f.reach[0] for f in frames.values())
+        after = max(f.reach[1] for f in frames.values())
+        cols = {f"{p}_{o}": f for o, f in frames.items() for p in ("s", "n")}
+        whole = Window.partitionBy(*_others(axis))
+        df = df.withColumns({f"_row_{c}": F.sum(c).over(whole) for c, f in cols.items() if f.turns})
         df = _mirrored(df, axis, n, before, after)
-        w = Window.partitionBy(*_others(axis)).orderBy(f"_{axis}")
+        w = whole.orderBy(f"_{axis}")
         up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-        cols = [f"{p}_{o}" for o in active for p in ("s", "n")]
-        wide = [f"{p}_{o}" for o in active if sum(span[o]) >= WIDE_FRAME for p in ("s", "n")]
-        df = df.withColumns({f"_run_{c}": F.sum(c).over(up_to) for c in wide})
-        df = df.withColumns({c: _frame_sum(c, w, *span[c[2:]]) for c in cols})
+        df = df.withColumns({f"_run_{c}": F.sum(c).over(up_to) for c, f in cols.items() if f.width >= WIDE_FRAME})
+        df = df.withColumns({c: f.total(c, w) for c, f in cols.items()})
         df = df.where((F.col(f"_{axis}") >= 0) & (F.col(f"_{axis}") < n))
-        df = df.drop(f"_{axis}", *[f"_run_{c}" for c in wide])
+        df = df.drop(f"_{axis}", *[f"_{p}_{c}" for c in cols for p in ("run", "row")])
     means = [(F.col(f"s_{o}") / F.nullif(F.col(f"n_{o}"), F.lit(0.0))).alias(o) for o in pairs]
     return df.select(*keep, *means)
 
@@ -114,6 +145,28 @@ def gaussian_weights(sigma: float, truncate: float) -> list[float]:
     return [v / total for v in w]
 
 
+def _gaussian_pass(
+    df: DataFrame, col: str, axis: str, n: Column, weights: list[float], by: list[str]
+) -> DataFrame:
+    r = len(weights) // 2
+    df = _mirrored(df, axis, n, r, r)
+    w = Window.partitionBy(*by).orderBy(f"_{axis}")
+    # lag(-k) reads k rows ahead, so every tap is an O(1) offset in one window
+    taps = [F.lag(col, -k).over(w) * weights[k + r] for k in range(-r, r + 1)]
+    df = df.withColumn(col, reduce(lambda a, b: a + b, taps))
+    return df.where((F.col(f"_{axis}") >= 0) & (F.col(f"_{axis}") < n)).drop(f"_{axis}")
+
+
+def smooth_series(
+    df: DataFrame, col: str, sigma: float, by: list[str], out: str, truncate: float = 4.0
+) -> DataFrame:
+    """Gaussian filter over the steps of each series, for example one object's life."""
+    life = df.groupBy(*by).agg(F.min("t").alias("_t0"), (F.max("t") - F.min("t") + 1).alias("_n"))
+    df = df.join(life, by).withColumn("i", F.col("t") - F.col("_t0")).withColumn(out, F.col(col))
+    df = _gaussian_pass(df, out, "i", F.col("_n"), gaussian_weights(sigma, truncate), by)
+    return df.drop("_t0", "_n", "i")
+
+
 def gaussian_smooth(
     df: DataFrame,
     col: str,
@@ -129,21 +182,9 @@ def gaussian_smooth(
     if added:
         df = with_run_length(df)
     for axis in ("x", "y", "t"):
-        sigma = sigmas.get(axis, 0)
-        if sigma <= 0:
-            continue
-        weights = gaussian_weights(sigma, truncate)
-        r = len(weights) // 2
-        n = _length(axis, lengths)
-        df = _mirrored(df, axis, n, r, r)
-        w = Window.partitionBy(*_others(axis)).orderBy(f"_{axis}")
-        # lag(-k) reads k rows ahead, so every tap is an O(1) offset in one window
-        taps = [F.lag(out, -k).over(w) * weights[k + r] for k in range(-r, r + 1)]
-        total = taps[0]
-        for tap in taps[1:]:
-            total = total + tap
-        df = df.withColumn(out, total)
-        df = df.where((F.col(f"_{axis}") >= 0) & (F.col(f"_{axis}") < n)).drop(f"_{axis}")
+        if sigmas.get(axis, 0) > 0:
+            n = _length(axis, lengths)
+            df = _gaussian_pass(df, out, axis, n, gaussian_weights(sigmas[axis], truncate), _others(axis))
     return df.drop("_nt") if added else df
 
 
