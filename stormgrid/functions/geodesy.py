@@ -46,7 +46,7 @@ def cosine_distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) ->
     c = F.sin(phi1) * F.sin(phi2) + F.cos(phi1) * F.cos(phi2) * F.cos(
         F.radians(lon2) - F.radians(lon1)
     )
-    return F.acos(F.least(F.lit(1.0), c)) * EARTH_RADIUS_M
+    return F.acos(F.when(c > 1, 1.0).otherwise(c)) * EARTH_RADIUS_M
 
 
 def normalize_lon(lon: Column) -> Column:
