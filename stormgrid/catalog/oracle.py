@@ -356,7 +356,7 @@ ORACLE["object_extent_boxes"] = with_(
             * (max(lat * cos(r) - lon * sin(r)) - min(lat * cos(r) - lon * sin(r))) AS box
           FROM dirs d JOIN pts p ON p.run_id = d.run_id AND p.object_key = d.object_key AND p.t = d.t GROUP BY ALL)""",
     ],
-    """SELECT s.run_id, s.object_key, s.t, round(min(box) FILTER (box > 1e-12), 7) AS box_deg2
+    """SELECT s.run_id, s.object_key, s.t, round(CASE WHEN min(box) > 1e-12 THEN min(box) END, 7) AS box_deg2
       FROM (SELECT DISTINCT run_id, object_key, t FROM rain) s LEFT JOIN boxes b USING (run_id, object_key, t) GROUP BY ALL""",
 )
 LOW_STEPS = """lows AS MATERIALIZED (SELECT run_id, object_key, t, y, x, (101300 - 40 * pr) / 100 AS slp,
