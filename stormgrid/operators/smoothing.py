@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .grid import Grid
 
 AXES = ("t", "y", "x")
@@ -37,29 +38,45 @@ def _others(axis: str) -> list[str]:
     return ["run_id", *[a for a in AXES if a != axis]]
 
 
-def with_run_length(df: DataFrame) -> DataFrame:
-    """Number of steps of each run as ``_nt``."""
-    length = df.groupBy("run_id").agg((F.max("t") + 1).alias("_nt"))
-    return df.join(length, "run_id")
+@dataclass(frozen=True)
+class _Axis:
+    """Length of an axis: one number, or a column with a known least value."""
 
+    name: str
+    n: Column
+    least: int
+
+    @staticmethod
+    def fixed(name: str, n: int) -> "_Axis":
+        return _Axis(name, F.lit(n), n)
 
-def _mirrored(df: DataFrame, axis: str, n: Column, before: int, after: int) -> DataFrame:
-    """Repeat rows at their mirror positions up to ``before`` / ``after`` beyond the edges."""
-    i = F.col(axis)
-    period = n * 2
-    turns = F.ceil(F.lit(max(before, after, 1)) / period).cast("int")
-    images = F.flatten(
-        F.transform(F.sequence(-turns, turns), lambda k: F.array(i + period * k, period - 1 - i + period * k))
-    )
-    seen = F.filter(images, lambda j: (j >= -before) & (j < n + after))
-    near_edge = (i < before) | (i >= n - after)
-    return df.withColumn(
-        f"_{axis}", F.explode(F.when(near_edge, seen).otherwise(F.array(i.cast(df.schema[axis].dataType))))
-    )
 
+def _with_axes(df: DataFrame, names: list[str], lengths: dict[str, int]) -> tuple[DataFrame, dict[str, _Axis]]:
+    """Axes to filter; the number of steps is found per run unless it is given."""
+    axes = {a: _Axis.fixed(a, lengths[a]) for a in names if a in lengths}
+    if "t" in names and "t" not in lengths:
+        steps = stage(df.groupBy("run_id").agg((F.max("t") + 1).alias("_nt")), "lengths")
+        df = df.join(steps, "run_id")
+        axes["t"] = _Axis("t", F.col("_nt"), steps.agg(F.min("_nt")).first()[0] or 1)
+    return df, axes
 
-def _length(axis: str, lengths: dict[str, int]) -> Column:
-    return F.lit(lengths[axis]) if axis in lengths else F.col("_nt")
+
+def _mirrored(df: DataFrame, axis: _Axis, before: int, after: int) -> DataFrame:
+    """Repeat rows at their mirror positions up to ``before`` / ``after`` beyond the edges.
+
+    Positions go to ``_<axis>``. A row of index i shows up at i and at 2n - 1 - i, both
+    shifted by any number of periods of 2n; only rows near an edge are repeated.
+    """
+    i, n = F.col(axis.name), axis.n
+    turns = -(-max(before, after, 1) // (2 * axis.least))
+    images = [i + n * (2 * k) for k in range(-turns, turns + 1)]
+    images += [n * (2 * k) - 1 - i for k in range(-turns + 1, turns + 2)]
+    if before <= axis.least and after <= axis.least:
+        images = [i, -1 - i, n * 2 - 1 - i]
+    seen = F.array(*[F.when((p >= -before) & (p < n + after), p).cast("long") for p in images])
+    near_edge = (i < before) | (i >= n - after)
+    position = F.explode(F.when(near_edge, seen).otherwise(F.array(i.cast("long"))))
+    return df.withColumn(f"_{axis.name}", position).where(F.col(f"_{axis.name}").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -114,25 +131,22 @@ def uniform_smooth(
         df = df.withColumn(f"s_{out}", F.coalesce(F.col(col).cast("double"), F.lit(0.0)))
         df = df.withColumn(f"n_{out}", F.col(col).isNotNull().cast("double"))
         pairs[out] = sizes
-    if any(s.get("t", 1) > 1 for s in pairs.values()) and "t" not in lengths:
-        df = with_run_length(df)
-    for axis in ("x", "y", "t"):
+    names = [a for a in ("x", "y", "t") if any(s.get(a, 1) > 1 for s in pairs.values())]
+    df, axes = _with_axes(df, names, lengths)
+    for axis in names:
         active = {o: s[axis] for o, s in pairs.items() if s.get(axis, 1) > 1}
-        if not active:
-            continue
-        n = _length(axis, lengths)
         frames = {o: _frame(size, lengths.get(axis)) for o, size in active.items()}
         before = max(f.reach[0] for f in frames.values())
         after = max(f.reach[1] for f in frames.values())
         cols = {f"{p}_{o}": f for o, f in frames.items() for p in ("s", "n")}
         whole = Window.partitionBy(*_others(axis))
         df = df.withColumns({f"_row_{c}": F.sum(c).over(whole) for c, f in cols.items() if f.turns})
-        df = _mirrored(df, axis, n, before, after)
+        df = _mirrored(df, axes[axis], before, after)
         w = whole.orderBy(f"_{axis}")
         up_to = w.rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumns({f"_run_{c}": F.sum(c).over(up_to) for c, f in cols.items() if f.width >= WIDE_FRAME})
         df = df.withColumns({c: f.total(c, w) for c, f in cols.items()})
-        df = df.where((F.col(f"_{axis}") >= 0) & (F.col(f"_{axis}") < n))
+        df = df.where((F.col(f"_{axis}") >= 0) & (F.col(f"_{axis}") < axes[axis].n))
         df = df.drop(f"_{axis}", *[f"_{p}_{c}" for c in cols for p in ("run", "row")])
     means = [(F.col(f"s_{o}") / F.nullif(F.col(f"n_{o}"), F.lit(0.0))).alias(o) for o in pairs]
     return df.select(*keep, *means)
@@ -145,16 +159,15 @@ def gaussian_weights(sigma: float, truncate: float) -> list[float]:
     return [v / total for v in w]
 
 
-def _gaussian_pass(
-    df: DataFrame, col: str, axis: str, n: Column, weights: list[float], by: list[str]
-) -> DataFrame:
+def _gaussian_pass(df: DataFrame, col: str, axis: _Axis, weights: list[float], by: list[str]) -> DataFrame:
     r = len(weights) // 2
-    df = _mirrored(df, axis, n, r, r)
-    w = Window.partitionBy(*by).orderBy(f"_{axis}")
+    df = _mirrored(df, axis, r, r)
+    at = F.col(f"_{axis.name}")
+    w = Window.partitionBy(*by).orderBy(at)
     # lag(-k) reads k rows ahead, so every tap is an O(1) offset in one window
     taps = [F.lag(col, -k).over(w) * weights[k + r] for k in range(-r, r + 1)]
     df = df.withColumn(col, reduce(lambda a, b: a + b, taps))
-    return df.where((F.col(f"_{axis}") >= 0) & (F.col(f"_{axis}") < n)).drop(f"_{axis}")
+    return df.where((at >= 0) & (at < axis.n)).drop(f"_{axis.name}")
 
 
 def smooth_series(
@@ -163,7 +176,7 @@ def smooth_series(
     """Gaussian filter over the steps of each series, for example one object's life."""
     life = df.groupBy(*by).agg(F.min("t").alias("_t0"), (F.max("t") - F.min("t") + 1).alias("_n"))
     df = df.join(life, by).withColumn("i", F.col("t") - F.col("_t0")).withColumn(out, F.col(col))
-    df = _gaussian_pass(df, out, "i", F.col("_n"), gaussian_weights(sigma, truncate), by)
+    df = _gaussian_pass(df, out, _Axis("i", F.col("_n"), 1), gaussian_weights(sigma, truncate), by)
     return df.drop("_t0", "_n", "i")
 
 
@@ -178,14 +191,11 @@ def gaussian_smooth(
     """Gaussian filter; sigma 0 leaves an axis alone. A NULL under the kernel gives NULL."""
     out = out or f"{col}_smooth"
     df = df.withColumn(out, F.col(col).cast("double"))
-    added = sigmas.get("t", 0) > 0 and "t" not in lengths
-    if added:
-        df = with_run_length(df)
-    for axis in ("x", "y", "t"):
-        if sigmas.get(axis, 0) > 0:
-            n = _length(axis, lengths)
-            df = _gaussian_pass(df, out, axis, n, gaussian_weights(sigmas[axis], truncate), _others(axis))
-    return df.drop("_nt") if added else df
+    names = [a for a in ("x", "y", "t") if sigmas.get(a, 0) > 0]
+    df, axes = _with_axes(df, names, lengths)
+    for axis in names:
+        df = _gaussian_pass(df, out, axes[axis], gaussian_weights(sigmas[axis], truncate), _others(axis))
+    return df.drop("_nt")
 
 
 def gradient(df: DataFrame, col: str, axis: str, out: str | None = None) -> DataFrame:
