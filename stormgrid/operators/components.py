@@ -280,10 +280,9 @@ def _keyed_join(big: DataFrame, small: DataFrame, keys: list[str], total: int, s
     limit = max(MAX_ROWS_PER_KEY, total // 1000)
     salts = F.ceil(F.col("n") / limit).cast("int")
     hot = F.broadcast(small.where(F.col("n") > limit).select(*keys, salts.alias("_salts")))
-    salted = big.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(salt_by), F.coalesce("_salts", F.lit(1)).cast("long"))
-    )
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)).cast("long")).drop("n")
+    salt = F.pmod(F.xxhash64(salt_by), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
+    salted = big.join(hot, keys, "left").withColumn("_salt", salt)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
     return salted.drop("_salts").join(copies, [*keys, "_salt"]).drop("_salt")
 
 
