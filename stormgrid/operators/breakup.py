@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import Mask, Tile, label_masks, reduce_to_stars
+from .joins import salted_join
 from .objects import count_parts, dense_ids
 
 
@@ -62,8 +63,8 @@ def breakup_objects(
 
     ``cells`` has ``run_id, t, y, x, object_key``. Bodies are slice components; they are
     chained over time by ``track_links`` as one graph problem, not step by step. Tracks
-    shorter than ``min_steps`` (a number, or a column over ``run_id``) are dropped. The result has ``object_id`` instead of
-    ``object_key``.
+    shorter than ``min_steps`` (a number, or a column over ``run_id``) are dropped. The
+    result has ``object_id`` instead of ``object_key``.
     """
     body = Mask(F.lit(True), slice_only=True, within="object_key")
     labels = label_masks(cells, {"body": body}, wrap_nx, tile)
@@ -72,8 +73,9 @@ def breakup_objects(
     )
     pieces = stage(labels.objects_of(pieces, "body", "body_part", "part"), "bodies")
     bodies = pieces.groupBy("run_id", "object_key", "t", "part").agg(F.sum("n_cells").alias("n_cells"))
-    broken = count_parts(bodies).where(F.col("mean_parts") > avg_parts).select("run_id", "object_key")
-    split = pieces.join(broken, ["run_id", "object_key"], "left_semi")
+    gate = count_parts(bodies).withColumn("_split", F.col("mean_parts") > avg_parts).drop("mean_parts")
+    gated = stage(salted_join(pieces, gate, ["run_id", "object_key"], "body_part"), "gated")
+    split = gated.where("_split")
 
     moving = labels.cells.join(split.select("run_id", "body_part"), ["run_id", "body_part"], "left_semi")
     shared = part_overlaps(moving, "body_part")
@@ -83,18 +85,16 @@ def breakup_objects(
     shared = stage(shared.groupBy("run_id", "a", "b").agg(F.sum("n_shared").alias("n_shared")), "overlaps")
     roots = reduce_to_stars(stage(track_links(shared, bodies), "track_links"), ["run_id"])
 
-    whole = pieces.join(broken, ["run_id", "object_key"], "left_anti")
-    first = whole.groupBy("run_id", "object_key").agg(F.min("part").alias("track_key"))
-    named = whole.join(first, ["run_id", "object_key"])
-    if roots is None:
-        split = split.withColumn("track_key", F.col("part"))
-    else:
+    split = split.withColumn("track_key", F.col("part"))
+    if roots is not None:
         root = roots.select("run_id", F.col("u").alias("part"), F.col("v").alias("_root"))
         split = split.join(root, ["run_id", "part"], "left")
-        split = split.withColumn("track_key", F.coalesce("_root", "part")).drop("_root")
+        split = split.withColumn("track_key", F.coalesce("_root", "part"))
+    whole = gated.where("NOT _split").withColumn("track_key", F.col("first_part"))
     cols = ["run_id", "t", "body_part", "track_key"]
-    tracks = stage(named.select(*cols).unionByName(split.select(*cols)), "tracks")
+    tracks = stage(whole.select(*cols).unionByName(split.select(*cols)), "tracks")
     life = tracks.groupBy("run_id", "track_key").agg((F.max("t") - F.min("t") + 1).alias("_life"))
     ids = dense_ids(life.where(F.col("_life") >= min_steps), "track_key")
-    final = tracks.join(ids, ["run_id", "track_key"]).select("run_id", "body_part", "object_id")
+    final = salted_join(tracks, ids, ["run_id", "track_key"], "body_part")
+    final = final.select("run_id", "body_part", "object_id")
     return labels.cells.join(final, ["run_id", "body_part"]).drop("body_part", "object_key")

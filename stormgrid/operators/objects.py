@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import key_step
 from .components import Labels, restore_nulls, spread_nulls
 from .grid import Grid
+from .joins import salted_join
 
 
 def _cell_aggs(value: str) -> list[Column]:
@@ -207,11 +208,10 @@ def number_cells(
     for kind, table in ids.items():
         part = f"{kind}_part"
         pieces = labels.cells.where(F.col(part).isNotNull()).select("run_id", part).distinct()
-        numbered = (
-            labels.objects_of(pieces, kind, part)
-            .join(table.select("run_id", "object_key", "object_id"), ["run_id", "object_key"])
-            .select("run_id", part, F.col("object_id").alias(f"{kind}_id"))
-        )
+        named = table.select("run_id", "object_key", F.col("object_id").alias(f"{kind}_id"))
+        numbered = salted_join(
+            labels.objects_of(pieces, kind, part), named, ["run_id", "object_key"], part
+        ).drop("object_key")
         df = restore_nulls(spread_nulls(df, part).join(numbered, ["run_id", part], "left"), part)
     return df
 
@@ -223,7 +223,8 @@ def validate_steps(steps: DataFrame) -> int:
 
 
 def count_parts(parts: DataFrame) -> DataFrame:
-    """Mean number of slice parts per step of each object's lifetime."""
+    """Mean number of slice parts per step of each object's lifetime, and its first part."""
     return parts.groupBy("run_id", "object_key").agg(
-        (F.count(F.lit(1)) / (F.max("t") - F.min("t") + 1)).alias("mean_parts")
+        (F.count(F.lit(1)) / (F.max("t") - F.min("t") + 1)).alias("mean_parts"),
+        F.min("part").alias("first_part"),
     )

@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .grid import Grid
+from .joins import join_per_run
 
 AXES = ("t", "y", "x")
 # Frames wider than this are taken as differences of running sums.
-WIDE_FRAME = 32
+WIDE_FRAME = 8
 
 
 def densify(cells: DataFrame, grid: Grid, fill: dict[str, float] | None = None) -> DataFrame:
     """Add a row for each grid point and step of a run that has none."""
     span = cells.groupBy("run_id").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
     steps = span.select("run_id", F.explode(F.sequence("_t0", "_t1")).alias("t"))
+    # spread a long run over many tasks before its steps are opened to cells
+    steps = steps.repartition("run_id", "t")
     row = F.explode(F.sequence(F.lit(0), F.lit(grid.ny - 1)))
     col = F.explode(F.sequence(F.lit(0), F.lit(grid.nx - 1)))
     spine = steps.withColumn("y", row).withColumn("x", col)
@@ -56,12 +59,14 @@ def _with_axes(df: DataFrame, names: list[str], lengths: dict[str, int]) -> tupl
     axes = {a: _Axis.fixed(a, lengths[a]) for a in names if a in lengths}
     if "t" in names and "t" not in lengths:
         steps = stage(df.groupBy("run_id").agg((F.max("t") + 1).alias("_nt")), "lengths")
-        df = df.join(steps, "run_id")
+        df = join_per_run(df, steps)
         axes["t"] = _Axis("t", F.col("_nt"), steps.agg(F.min("_nt")).first()[0] or 1)
     return df, axes
 
 
-def _mirrored(df: DataFrame, axis: _Axis, before: int, after: int) -> DataFrame:
+def _mirrored(
+    df: DataFrame, axis: _Axis, before: int, after: int, by: list[str]
+) -> DataFrame:
     """Repeat rows at their mirror positions up to ``before`` / ``after`` beyond the edges.
 
     Positions go to ``_<axis>``. A row of index i shows up at i and at 2n - 1 - i, both
@@ -75,6 +80,8 @@ def _mirrored(df: DataFrame, axis: _Axis, before: int, after: int) -> DataFrame:
         images = [i, -1 - i, n * 2 - 1 - i]
     seen = F.array(*[F.when((p >= -before) & (p < n + after), p).cast("long") for p in images])
     near_edge = (i < before) | (i >= n - after)
+    # gather the lines first, so that only real rows are shuffled
+    df = df.repartition(*by)
     position = F.explode(F.when(near_edge, seen).otherwise(F.array(i.cast("long"))))
     return df.withColumn(f"_{axis.name}", position).where(F.col(f"_{axis.name}").isNotNull())
 
@@ -141,7 +148,7 @@ def uniform_smooth(
         cols = {f"{p}_{o}": f for o, f in frames.items() for p in ("s", "n")}
         whole = Window.partitionBy(*_others(axis))
         df = df.withColumns({f"_row_{c}": F.sum(c).over(whole) for c, f in cols.items() if f.turns})
-        df = _mirrored(df, axes[axis], before, after)
+        df = _mirrored(df, axes[axis], before, after, _others(axis))
         w = whole.orderBy(f"_{axis}")
         up_to = w.rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumns({f"_run_{c}": F.sum(c).over(up_to) for c, f in cols.items() if f.width >= WIDE_FRAME})
@@ -161,7 +168,7 @@ def gaussian_weights(sigma: float, truncate: float) -> list[float]:
 
 def _gaussian_pass(df: DataFrame, col: str, axis: _Axis, weights: list[float], by: list[str]) -> DataFrame:
     r = len(weights) // 2
-    df = _mirrored(df, axis, r, r)
+    df = _mirrored(df, axis, r, r, by)
     at = F.col(f"_{axis.name}")
     w = Window.partitionBy(*by).orderBy(at)
     # lag(-k) reads k rows ahead, so every tap is an O(1) offset in one window

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import brightness_temperature, null_if_negative
 from ..functions.geodesy import normalize_lon, roll_x
+from ..operators.joins import join_per_run
 from ..operators.regrid import regrid
 from ..operators.resample import hourly_rain, median_substep
 from ..schema import nan_to_null
@@ -65,9 +66,10 @@ def stack_variables(fields: dict[str, DataFrame]) -> DataFrame:
 def with_step_index(df: DataFrame, dt_hours: float = 1.0) -> DataFrame:
     """Step number since the first time stamp of each run."""
     start = df.groupBy("run_id").agg(F.min("time").alias("_start"))
+    df = join_per_run(df, start, "time")
     seconds = F.unix_timestamp("time") - F.unix_timestamp("_start")
     step = F.floor(seconds / (3600 * dt_hours)).cast("int")
-    return df.join(start, "run_id").withColumn("t", step).drop("_start")
+    return df.withColumn("t", step).drop("_start")
 
 
 def time_axis(df: DataFrame, dt_hours: int = 1) -> DataFrame:

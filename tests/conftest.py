@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", shuffle_partitions=4, memory="4g")
+    return local_session("4", shuffle_partitions=2, memory="4g")
 
 
 @pytest.fixture(scope="session")
