@@ -549,7 +549,8 @@ def atmospheric_river_cells(spark, sf):
 
 def _lows(spark, sf):
     g = measure_grid(I.base_grid(spark), regular=True)
-    fields = stage(K.pressure_anomaly(I.dense_fields(spark, sf), g, LOWS, nt=I.NT), "fields")
+    slp = I.dense_fields(spark, sf).select(*CELL, "slp")
+    fields = stage(K.pressure_anomaly(slp, g, LOWS, nt=I.NT), "fields")
     return g, fields
 
 
