@@ -44,8 +44,6 @@ from ..operators.objects import (
     object_area,
     object_bounds,
     object_speed,
-    object_stats,
-    step_table,
 )
 from ..operators.overlap import bbox_min, overlap_pairs, partner_area
 from ..operators.regrid import grid_weights, regrid

@@ -65,7 +65,7 @@ def gaussian(values, sigma, truncate=4.0):
     ]
 
 
-def rectangle_area(points, turns=20000):
+def rectangle_area(points):
     """Least box area over all point-pair directions."""
     best = math.inf
     for (ax, ay), (bx, by) in itertools.combinations(points, 2):

@@ -26,7 +26,7 @@ def test_runs_are_paired_by_name(spark, tmp_path):
         for name, base in [("RAIN", 1.0), ("OLR", 200.0)]:
             rows = [(t, 0, x, base + x) for t in hours(3) for x in range(2)]
             df = spark.createDataFrame(rows, f"time timestamp, y int, x int, {name} float")
-            df.write.parquet(f"{tmp_path}/wrf_01H_{name}_2016-{month}.parquet")
+            df.write.parquet(f"{tmp_path}/model_01H_{name}_2016-{month}.parquet")
     cells = S.read_runs(spark, str(tmp_path))
     assert {r.run_id for r in cells.select("run_id").distinct().collect()} == {201607, 201608}
     r = cells.where("run_id = 201608 AND t = 2 AND x = 1").first()
