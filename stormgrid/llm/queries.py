@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules
+from . import kneser_ney, near_dedup, quality_classifier, quality_rules
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -41,3 +41,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, weights).select(
         "doc_id", F.expr(f"{fold} = 0").alias("held_out"), "score", "predicted"
     )
+
+
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = f"{remainder('doc_id', 10)} = 0"
+    return kneser_ney.score_texts(table(spark, sf_dir, "documents"), held)
