@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, near_dedup, quality_classifier, quality_rules
+import corpus_pipeline
+
+from ..session import stage
+from . import (
+    byte_bpe,
+    jpeg_media,
+    kneser_ney,
+    license_lookup,
+    license_texts,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    url_rules,
+    warc,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -53,3 +69,74 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = f"{remainder('doc_id', 10)} = 0"
     return kneser_ney.score_texts(table(spark, sf_dir, "documents"), held)
+
+
+URL_RULES = [
+    url_rules.Rule("com", "/en/", "block"),
+    url_rules.Rule("example.com", "/en/7", "allow"),
+    url_rules.Rule("net", "/de/", "allow"),
+    url_rules.Rule("example.net", "/de/8", "block"),
+    url_rules.Rule("org", "/es/", "block"),
+]
+
+
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stage(jpeg_media.store_media(table(spark, sf_dir, "documents")), "media")
+    read = jpeg_media.media_features(stored)
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash", F.substring("thumbnail_sha256", 1, 16))
+    return read.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
+    )
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stage(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    normal = stage(warc.normalise(archives), "normal-archives")
+    number = F.expr("CAST(nullif(page, '') AS BIGINT)")
+    return warc.read_records(normal, payload=False).select(
+        number.alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers").cast("long").alias("refers_to"),
+    )
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Place and id digest of every piece; the ids themselves are not moved."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests)
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = byte_bpe.BpeFiles(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), files)
+    digests = encoded.select("doc_id", "ids", byte_bpe.count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    decoded = byte_bpe.decode(digests, files)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame(license_texts.LICENSES, "license_id string, text string")
+    return license_lookup.find_licenses(table(spark, sf_dir, "documents"), known)
+
+
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -193,6 +194,19 @@ def blocks(batch: pa.RecordBatch, text: str, max_bytes: int = BLOCK_BYTES) -> It
         at = to
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows with about ``most`` bytes in one column, one row at least."""
+    start, size = 0, 0
+    sizes = pa.compute.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > most:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def map_blocks(
     df: DataFrame,
     text: str,
