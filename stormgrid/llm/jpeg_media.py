@@ -30,17 +30,18 @@ ROW_BLOCKS = UNIT // 64
 MAX_SIDE = 65535 // 8
 LENGTH_NOTE = b"payload bytes "
 
-# The writer's Huffman codes. DC: nine categories of 4 bits. AC: a value without zeros before
-# it has 4 bits, every other symbol 8.
+# The writer's Huffman codes. DC: nine categories of 4 bits. AC: short codes for values
+# without zeros before them, by how often letters, blanks and digits of a text have that
+# category; all other symbols have 11 bits, so any data can be written.
 DC_SYMBOLS = list(range(9))
-AC_SHORT = list(range(1, 9))
-AC_LONG = [0x00, 0xF0] + [run << 4 | size for run in range(1, 16) for size in range(1, 9)]
+AC_WIDTHS = {1: [5], 2: [4], 3: [7], 5: [6], 6: [3], 8: [1, 2, 8]}
+AC_WIDTHS[11] = [0x00, 0xF0] + [run << 4 | size for run in range(1, 16) for size in range(1, 9)]
 
 
 def _tables() -> bytes:
     dc = bytes([0x00]) + bytes(len(DC_SYMBOLS) if n == 4 else 0 for n in range(1, 17)) + bytes(DC_SYMBOLS)
-    ac = bytes([0x10]) + bytes({4: len(AC_SHORT), 8: len(AC_LONG)}.get(n, 0) for n in range(1, 17))
-    return dc + ac + bytes(AC_SHORT + AC_LONG)
+    ac = bytes([0x10]) + bytes(len(AC_WIDTHS.get(n, [])) for n in range(1, 17))
+    return dc + ac + bytes(sum(AC_WIDTHS.values(), []))
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -48,9 +49,11 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def _ac_codes() -> tuple[np.ndarray, np.ndarray]:
-    code, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    code[AC_SHORT], size[AC_SHORT] = np.arange(len(AC_SHORT)), 4
-    code[AC_LONG], size[AC_LONG] = (len(AC_SHORT) << 4) + np.arange(len(AC_LONG)), 8
+    code, size, next_, last = np.zeros(256, np.int64), np.zeros(256, np.int64), 0, 0
+    for width, symbols in AC_WIDTHS.items():
+        next_ <<= width - last
+        code[symbols], size[symbols] = next_ + np.arange(len(symbols)), width
+        next_, last = next_ + len(symbols), width
     return code, size
 
 
@@ -98,7 +101,7 @@ def _entropy(coefs: np.ndarray, lane_of: np.ndarray) -> tuple[np.ndarray, np.nda
     words = np.concatenate(
         [dsize << dsize | dbits, code_of[symbol] << size | bits, np.full(len(skipped), code_of[0xF0]), np.full(len(open_), code_of[0])]
     )
-    widths = np.concatenate([dsize + 4, size_of[symbol] + size, np.full(len(skipped), 8), np.full(len(open_), 8)])
+    widths = np.concatenate([dsize + 4, size_of[symbol] + size, np.full(len(skipped), size_of[0xF0]), np.full(len(open_), size_of[0])])
     order = np.argsort(place, kind="stable")
     words, widths, lanes = words[order], widths[order], lane_of[place[order] >> 8]
 
