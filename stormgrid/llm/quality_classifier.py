@@ -94,9 +94,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: str, cfg: FtrlConfi
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], cfg: FtrlConfig) -> np.ndarray:
     """Weights after ``cfg.epochs`` passes; the last one is the bias."""
     z, n = np.zeros(cfg.features + 1), np.zeros(cfg.features + 1)
-    rows = [(y, np.append(at, cfg.features), np.append(value, 1.0).astype(np.float64)) for y, at, value in rows]
     for _ in range(cfg.epochs):
-        for y, at, x in rows:
+        for y, at, value in rows:
+            # widened one row at a time, so that the driver holds the rows only as they came
+            at, x = np.append(at, np.int32(cfg.features)), np.append(value, np.float32(1)).astype(np.float64)
             w = _weights(z[at], n[at], cfg)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
             more = n[at] + g * g
@@ -122,11 +123,12 @@ def train(
 
     The driver gets the features of at most ``cfg.max_rows`` documents, never texts.
     """
-    table = training_rows(docs, labels, learn, cfg, text, key).toPandas()
-    order = sorted(range(len(table)), key=lambda i: hash_key(table["_key"].iloc[i]))
+    table = training_rows(docs, labels, learn, cfg, text, key).toArrow().combine_chunks()
+    keys = table["_key"].to_pylist()
+    at, value, y = (table[c] for c in ("at", "value", "_y"))
     rows = [
-        (int(y), np.frombuffer(a, np.int32), np.frombuffer(v, np.float32))
-        for y, a, v in (table.iloc[i][["_y", "at", "value"]] for i in order)
+        (y[i].as_py(), np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(value[i].as_buffer(), np.float32))
+        for i in sorted(range(len(keys)), key=lambda i: hash_key(keys[i]))
     ]
     return fit(rows, cfg)
 
