@@ -276,7 +276,10 @@ def near_links(docs: DataFrame, nodes: DataFrame, key: str, text: str, cfg: Near
         pairs = stage(pairs.select(*_ordered("id", "id2")).distinct(), "pairs")
         if not pairs.isEmpty():
             links.add(pairs)
+        # the links just found close many of the larger buckets too
         many = named.where(F.col("outside") > cfg.small).select("id", "band", "bucket")
+        parts = links.component(many, "id", "c").groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+        many = stage(many.join(parts.where("low < high").select("bucket"), "bucket"), "many")
         if many.isEmpty():
             break
         # A pair not compared so far has all its common buckets among these, so they are
