@@ -15,6 +15,7 @@ other components, if there are at most ``small`` of them, so that the pairs stay
 proportion to the bucket. Buckets with more are split by one another (nodes which agree in
 two such bands, then in three, ...) and treated alike, until none is left. A pair in such
 buckets alone needs two common bands: at similarity 0.8 it is missed once in 17 000.
+Such a pair is also left out if the bucket of all its common bands is still large and open.
 
 Defined results. Words are compared with A-Z lower-cased; a text with fewer words than a
 shingle is one shingle, a text without words (NULL too) is its own class. Rows with equal
