@@ -12,10 +12,13 @@ No group is expanded into all its pairs. Equal texts are one node. In a bucket e
 is first compared with one hub; a bucket whose nodes are then one component is settled.
 In an open bucket the nodes outside its largest component are compared with all nodes of
 other components, if there are at most ``small`` of them, so that the pairs stay in
-proportion to the bucket. Buckets with more are split by one another (nodes which agree in
-two such bands, then in three, ...) and treated alike, until none is left. A pair in such
-buckets alone needs two common bands: at similarity 0.8 it is missed once in 17 000.
-Such a pair is also left out if the bucket of all its common bands is still large and open.
+proportion to the bucket. The nodes of buckets with more are joined exactly by prefixes, a
+superset of the pairs in these buckets. Write A and B for the normalised weight which the
+common shingles have in either text. The probability Jaccard similarity is at most
+1 / (1/A + 1/B - 1), so A and B reach the threshold, and two texts near to each other share
+one of the shingles which come first in a common order, up to the weight they may differ
+in. Pairs which the weight before a common shingle, or a parity bitmap of the shingles,
+already excludes are dropped in the join; the others are verified like all pairs.
 
 Defined results. Words are compared with A-Z lower-cased; a text with fewer words than a
 shingle is one shingle, a text without words (NULL too) is its own class. Rows with equal
@@ -39,6 +42,12 @@ from .textblock import Block, map_blocks, mix, pair
 
 # Keys of candidate documents are broadcast up to this count (8 bytes each).
 MAX_BROADCAST_IDS = 1_000_000
+# Counters for the order of shingles (bits of their hash), words of a parity bitmap, rows of
+# one shingle in a task, and what sums of weights may be off by.
+ORDER_BITS = 20
+PARITY_WORDS = 8
+PREFIX_ROWS = 64
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -202,6 +211,86 @@ def verify(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame
     return both.mapInArrow(check, pairs.schema)
 
 
+# ------------------------------------------------------------------- exact join by prefixes
+
+
+def _set_of(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(items, np.uint32)
+    return a, np.ones(len(a)) if weights is None else np.frombuffer(weights, np.uint32).astype(np.float64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle, by the leading bits of its hash; a fixed number of counters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("items").to_pylist()), np.uint32)
+            total += np.bincount(flat >> np.uint32(32 - ORDER_BITS), minlength=len(total))
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    found = sets.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return total
+
+
+def prefixes(sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """The first shingles of each set, rare ones first, each with the share of weight before it.
+
+    Two sets of which neither has a shingle in common with the other's first ones differ in
+    more weight than the threshold allows. Any order common to all sets is right; the counts
+    only keep shingles of many sets out.
+    """
+    counts = shingle_counts(sets)
+    rows = sets.select("id", "c", "items", "weights")
+    words = [f"p{i}" for i in range(PARITY_WORDS)]
+    kind, bits = dict(rows.dtypes)["id"], 64 * PARITY_WORDS
+    names = ["item", "before", "total", *words]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, made = [], [[] for _ in names]
+            for i, (items, weights) in enumerate(zip(batch.column("items").to_pylist(), batch.column("weights").to_pylist())):
+                a, w = _set_of(items, weights)
+                order = np.lexsort((a, counts[a >> np.uint32(32 - ORDER_BITS)]))
+                before = (np.cumsum(w[order]) - w[order]) / w.sum()
+                n = int(np.searchsorted(before, 1 - cfg.similarity + SLACK, "right"))
+                parity = np.packbits(np.bincount(a % np.uint32(bits), minlength=bits) & 1 > 0).view(np.int64)
+                at.append(np.full(n, i))
+                values = [a[order[:n]].astype(np.int64), before[:n], np.full(n, w.sum()), *(np.full(n, x) for x in parity)]
+                for column, value in zip(made, values):
+                    column.append(value)
+            if at:
+                own = batch.select(["id", "c"]).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(np.concatenate(x)) for x in made)], ["id", "c", *names])
+
+    parity_kinds = ", ".join(f"{x} long" for x in words)
+    return rows.mapInArrow(first, f"id {kind}, c {kind}, item long, before double, total double, {parity_kinds}")
+
+
+def prefix_pairs(sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """All pairs (u, v) of sets in different components ``c`` which may reach the threshold, and few others."""
+    rows = stage(prefixes(sets, cfg), "prefixes")
+    items = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    # the rows of a shingle in many sets are dealt out
+    items = items.where("low < high").select("item", F.ceil(F.col("n") / PREFIX_ROWS).cast("int").alias("n"))
+    rows = stage(rows.join(items, "item"), "shared-prefixes")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("n").cast("long")).cast("int"))
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    right = right.select(*[F.col(x).alias(f"{x}_2") for x in right.columns])
+    most = 1 + 1 / cfg.similarity
+    share = 1 / (1 - F.col("before")) + 1 / (1 - F.col("before_2")) <= most + SLACK
+    # shingles in one set only, each of weight 1 or more: by Cauchy-Schwarz from 1/A + 1/B <= most
+    roots = F.sqrt("total") + F.sqrt("total_2")
+    apart = F.col("total") + F.col("total_2") - roots * roots / most
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(PARITY_WORDS)), F.lit(0))
+    near = (F.col("id") > F.col("id_2")) & (F.col("c") != F.col("c_2")) & share & (differ <= apart + SLACK * F.col("total"))
+    both = left.join(right, (F.col("item") == F.col("item_2")) & (F.col("part") == F.col("part_2")) & near)
+    return both.select(F.col("id").alias("u"), F.col("id_2").alias("v")).distinct()
+
+
 # ------------------------------------------------------------------- components of links
 
 
@@ -243,52 +332,44 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, nodes: DataFrame, key: str, text: str, cfg: NearDedupConfig) -> DataFrame | None:
     """Stars (u, v) over all linked nodes: v is the smallest node of u's component."""
-    rows = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    rows = _shared(rows)
+    rows = _shared(nodes.select("id", F.explode("bands").alias("bucket")))
     links = _Links(docs, key, text, cfg)
     links.prepare(rows.select("id").distinct())
-    further: DataFrame | None = None
-
-    for depth in range(1, cfg.bands + 1):
-        # a random order of all nodes, so that the buckets of a group agree on few hubs
-        rank = F.xxhash64(F.col("id").cast("string"), F.lit(depth))
-        hubs = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id")).alias("h"))
-        spokes = rows.join(hubs.select("bucket", F.col("h.id").alias("hub")), "bucket").where("id <> hub")
-        spokes = links.component(links.component(spokes, "id", "ca"), "hub", "cb").where("ca <> cb")
-        spokes = stage(spokes.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")), "spokes")
-        best = spokes.groupBy("id").agg(F.max(F.struct("n", "hub")).alias("b"))
-        links.add(best.select(*_ordered("id", "b.hub")).distinct())
-        rest = links.component(links.component(spokes, "id", "ca"), "hub", "cb").where("ca <> cb")
-        rest = stage(rest.select(*_ordered("id", "hub")).distinct(), "spokes")
-        if not rest.isEmpty():
-            links.add(rest)
-
-        # a bucket is open while some of its nodes are outside its largest component
-        named = links.component(rows, "id", "c")
-        parts = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-        parts = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("most"))
-        open_ = parts.select("bucket", F.col("most.c").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
-        named = stage(named.join(open_.where("outside > 0"), "bucket"), "open")
-        few = named.where(F.col("outside") <= cfg.small)
-        left = few.where("c <> main").select("bucket", "id", "c", "main")
-        right = few.select("bucket", F.col("id").alias("id2"), F.col("c").alias("c2"))
-        once = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("id") > F.col("id2")))
-        pairs = left.join(right.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & once)
-        pairs = stage(pairs.select(*_ordered("id", "id2")).distinct(), "pairs")
+
+    # a random order of all nodes, so that the buckets of a group agree on few hubs
+    rank = F.xxhash64(F.col("id").cast("string"), F.lit(1))
+    hubs = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id")).alias("h"))
+    spokes = rows.join(hubs.select("bucket", F.col("h.id").alias("hub")), "bucket").where("id <> hub")
+    spokes = stage(spokes.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")), "spokes")
+    best = spokes.groupBy("id").agg(F.max(F.struct("n", "hub")).alias("b"))
+    links.add(best.select(*_ordered("id", "b.hub")).distinct())
+    rest = links.component(links.component(spokes, "id", "ca"), "hub", "cb").where("ca <> cb")
+    rest = stage(rest.select(*_ordered("id", "hub")).distinct(), "spokes")
+    if not rest.isEmpty():
+        links.add(rest)
+
+    # a bucket is open while some of its nodes are outside its largest component
+    named = links.component(rows, "id", "c")
+    parts = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("most"))
+    open_ = parts.select("bucket", F.col("most.c").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
+    named = stage(named.join(open_.where("outside > 0"), "bucket"), "open")
+    few = named.where(F.col("outside") <= cfg.small)
+    left = few.where("c <> main").select("bucket", "id", "c", "main")
+    right = few.select("bucket", F.col("id").alias("id2"), F.col("c").alias("c2"))
+    once = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("id") > F.col("id2")))
+    pairs = left.join(right.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & once)
+    pairs = stage(pairs.select(*_ordered("id", "id2")).distinct(), "pairs")
+    if not pairs.isEmpty():
+        links.add(pairs)
+    # the links just found close many of the larger buckets too
+    many = named.where(F.col("outside") > cfg.small).select("id", "bucket")
+    parts = links.component(many, "id", "c").groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    many = stage(many.join(parts.where("low < high").select("bucket"), "bucket").select("id").distinct(), "many")
+    if not many.isEmpty():
+        pairs = stage(prefix_pairs(links.component(links.sets.join(many, "id"), "id", "c"), cfg), "pairs")
         if not pairs.isEmpty():
             links.add(pairs)
-        # the links just found close many of the larger buckets too
-        many = named.where(F.col("outside") > cfg.small).select("id", "band", "bucket")
-        parts = links.component(many, "id", "c").groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        many = stage(many.join(parts.where("low < high").select("bucket"), "bucket"), "many")
-        if many.isEmpty():
-            break
-        # A pair not compared so far has all its common buckets among these, so they are
-        # split by one another, each set of bands once.
-        if further is None:
-            further = many.select("id", F.col("band").alias("_band"), F.col("bucket").alias("_further"))
-        finer = many.join(further, "id").where("_band > band")
-        rows = _shared(finer.select("id", F.col("_band").alias("band"), F.xxhash64("bucket", "_further").alias("bucket")))
     return links.stars
 
 

@@ -100,3 +100,51 @@ def test_base_rules_equal_a_plain_count(spark):
     assert all(not r.kept for r in found if r.base_failed)
     assert [r.doc_id for r in quality_rules.keep_good(docs, labels).collect()] == [r.doc_id for r in found if r.kept]
     assert quality_rules.apply_rules(docs.where("false"), labels).count() == 0
+
+
+def template_group(seed):
+    """One long template: texts far from one another, and couples of near copies between them."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("abcdefgh", k=5))
+    base, texts = [word() for _ in range(100)], []
+    for n in range(24):
+        copy = list(base)
+        for at in draw.sample(range(0, 100, 5), 4):
+            copy[at] = word()
+        copy += ["again and again and once more"] * (n % 3)
+        texts.append(" ".join(copy))
+        if n % 2:
+            copy[draw.randrange(20, 90)] = word()
+            texts.append(" ".join(copy))
+    draw.shuffle(texts)
+    return [(i, t, "x", None) for i, t in enumerate(texts)]
+
+
+def near_pairs(sets):
+    """The pairs of similarity 0.8; it is never above the common normalised weight."""
+    sizes = {i: sum(a.values()) for i, a in sets.items()}
+    common = lambda i, j: sum(min(sets[i][x] / sizes[i], sets[j][x] / sizes[j]) for x in sets[i].keys() & sets[j].keys())
+    return [(i, j) for i in sets for j in sets if i > j and common(i, j) > 0.79 and probability_jaccard(sets[i], sets[j]) >= 0.8]
+
+
+def test_pairs_of_a_large_open_bucket_are_all_compared(spark):
+    rows = template_group(3)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cfg = near_dedup.NearDedupConfig(bands=1, rows=1, small=1)
+    signed = {r.id: set(r.bands) for r in near_dedup.signatures(docs, "doc_id", "text", cfg).collect()}
+    near = near_pairs({i: shingle_weights(t) for i, t, *_ in rows})
+    shared = [(i, j) for i, j in near if signed[i] & signed[j]]
+    found = {r.id: r.class_id for r in near_dedup.near_duplicates(docs, cfg=cfg).collect()}
+    assert len(shared) > 4
+    assert [(i, j) for i, j in shared if found[i] != found[j]] == []
+
+
+def test_prefix_pairs_hold_every_near_pair(spark):
+    rows = template_group(4) + [(1000 + i, t, "x", None) for i, t in enumerate(["a b c d e " * 40, "a b c d e " * 41, "one two"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cfg = near_dedup.NearDedupConfig()
+    made = near_dedup.shingle_sets(docs, docs.select(docs.doc_id.alias("id")), "doc_id", "text", cfg)
+    found = {(r.u, r.v) for r in near_dedup.prefix_pairs(made.withColumn("c", made.id), cfg).collect()}
+    near = set(near_pairs({i: shingle_weights(t) for i, t, *_ in rows}))
+    assert len(near) > 10 and near <= found
+    assert len(found) < len(rows) ** 2 / 4
