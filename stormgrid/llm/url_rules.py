@@ -8,8 +8,10 @@ of its aliases: allowed if an allow rule names one of them, else blocked if a bl
 does, else allowed. Only DataFrame functions are used.
 
 Defined results. NULL urls and urls without ``://`` have an empty host and path, no rule
-and the verdict allow; a page without a host has no aliases. NULL or empty html has no edges. Links are read when absolute,
-``//host/path`` or ``/path``; others are ignored. Scheme and fragment do not tell nodes
+and the verdict allow; a page without a host has no aliases. NULL or empty html has no edges. Tag and attribute
+names are read in any case, values with or without quotes, ``rel`` as a list of tokens;
+every canonical link and refresh of a page counts. Of entities ``&amp;`` and its numeric
+forms are decoded. Relative links start from the page's own url; ``<base>`` is not read. Scheme and fragment do not tell nodes
 apart. Repeated rows get equal verdicts. Of two equal rules, allow wins.
 """
 
@@ -29,10 +31,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 10_000
 MAX_BROADCAST_NODES = 500_000
 
-CANONICAL = r"""<link[^>]*rel=["']canonical["'][^>]*>"""
-REFRESH = r"""<meta[^>]*http-equiv=["'](?:refresh|Refresh|REFRESH)["'][^>]*>"""
-HREF = r"""href=["']([^"']*)["']"""
-TARGET = r"""(?:url|URL)=([^"'>\s]*)"""
+# Tags end at the first > outside quotes; an attribute's name follows white space, a quote or a slash.
+LINK = r"""(?is)<link(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*>"""
+META = r"""(?is)<meta(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*>"""
+# Attributes before a given one are passed over whole, so that its name in a value does not count.
+BEFORE = r"""(?is)^<\w+(?:[\s/]+(?!%s[\s=/>])[^\s=/>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*[\s/]+%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+TARGET = r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?\s*([^"'\s]*)"""
+SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
+ENTITIES = ["(?i)&#0*38;|&#x0*26;|&amp;", "&"]
 
 
 @dataclass(frozen=True)
@@ -85,16 +91,54 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_max(F.filter(F.flatten(known), lambda r: path.startswith(r["path"])))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute ``name`` of a tag, with &amp; decoded, or an empty string."""
+    pattern = BEFORE % (name, name)
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return F.trim(F.regexp_replace(value, *map(F.lit, ENTITIES)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from its root with its . and .. segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda done, one: F.when(one == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(one == ".", done)
+        .otherwise(F.concat(done, F.array(one))),
+    )
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(last.isin(".", "..") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def resolve(link: Column, url: Column) -> Column:
+    """A link as a url with a scheme: relative ones start from the page's own url."""
+    root, path = F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    own, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(link.rlike(SCHEME), link)
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.startswith("#"), F.regexp_extract(url, r"(?s)^([^#]*)", 1))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .when(link.startswith("/"), F.concat(root, F.when(own.rlike(r"/\.\.?(/|$)"), without_dots(own)).otherwise(own), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct edges (u, v), u > v, between nodes, from the links of each page."""
-    tag, meta = F.regexp_extract(html, CANONICAL, 0), F.regexp_extract(html, REFRESH, 0)
-    links = F.array(F.regexp_extract(tag, HREF, 1), F.regexp_extract(meta, TARGET, 1))
-    rows = pages.select(F.col(url).alias("_url"), F.explode(links).alias("_link")).where("_link <> ''")
-    whole = (
-        F.when(F.col("_link").startswith("//"), F.concat(F.lit("http:"), "_link"))
-        .when(F.col("_link").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("_url")), "_link"))
-        .otherwise(F.col("_link"))
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    canonical = F.filter(tags(LINK), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(tags(META), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
+    links = F.concat(
+        F.transform(canonical, lambda t: attribute(t, "href")),
+        F.transform(refresh, lambda t: F.regexp_extract(attribute(t, "content"), TARGET, 1)),
     )
+    rows = pages.select(F.col(url).alias("_url"), F.explode(links).alias("_link")).where("_link <> ''")
+    whole = resolve(F.col("_link"), F.col("_url"))
     ends = rows.select(node_of(F.col("_url")).alias("a"), node_of(whole).alias("b")).where("a <> b")
     return ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 

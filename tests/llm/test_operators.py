@@ -108,6 +108,23 @@ def test_url_rules_and_aliases(spark):
     assert url_rules.judge_urls(pages.where("false"), URL_RULES).count() == 0
 
 
+def test_links_are_read_in_all_usual_forms(spark):
+    pages = [
+        ("http://h.org/a/b/c?x=1", "<LINK data-href=z REL='next Canonical' HREF=page2>", "h.org/a/b/page2"),
+        ("http://h.org/a/b/d", '<link href="../x?y=../z" rel=canonical>', "h.org/a/x?y=../z"),
+        ("http://h.org/a/e", '<link rel="canonical" href="?p=2&amp;ref=x&#38;k=1&#x26;l=2">', "h.org/a/e?p=2&ref=x&k=1&l=2"),
+        ("http://h.org", '<link rel="icon" href="/i"><link title="a > rel=x" rel="canonical" href="./q/./">', "h.org/q/"),
+        ("http://h.org/f", "<meta http-equiv=Refresh content='0; Url=http://N.com/z'>", "n.com/z"),
+        ("http://h.org/g", '<META CONTENT="5;URL=\'../../up\'" HTTP-EQUIV="REFRESH">', "h.org/up"),
+        ("http://h.org/i", '<link rel="canonicals" href="/no"><link data-rel="canonical" href="/no"><metal http-equiv=refresh>', None),
+        ("http://h.org/j", '<link rel="canonical" href="mailto:a@b"><link rel="canonical" href="#top">', None),
+    ]
+    docs = spark.createDataFrame([p[:2] for p in pages], "url string, html string")
+    found = {(r.u, r.v) for r in url_rules.alias_edges(docs).collect()}
+    ends = [(u.split("://")[1], v) for u, _, v in pages if v]
+    assert found == {(max(e), min(e)) for e in ends}
+
+
 def test_warc_round_trip_and_index(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
     cfg = warc.WarcConfig(archive_bytes=600)
