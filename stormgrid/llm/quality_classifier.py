@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import MAX_BROADCAST_ROWS, salted_join
 from .textblock import Block, as_arrow, between, map_blocks, pair
 
 
@@ -71,13 +72,23 @@ def sparse_rows(block: Block, cfg: FtrlConfig) -> list[tuple[np.ndarray, np.ndar
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: str, cfg: FtrlConfig, text: str, key: str) -> DataFrame:
-    """Feature rows of at most ``cfg.max_rows`` labelled documents for which ``learn`` holds."""
+    """Feature rows of at most ``cfg.max_rows`` labelled documents for which ``learn`` holds.
+
+    Labels without a document do not count, and rows with equal keys and texts are one.
+    """
     sure = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).where(F.expr(learn))
     sure = sure.groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("_low"), F.max("quality").alias("_high"))
+    sure = sure.where("_low = _high").select("_key", F.col("_low").alias("_y"))
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_digest", F.sha2("_text", 256))
+    if sure.count() <= MAX_BROADCAST_ROWS:
+        found = rows.select("_key", "_digest").join(F.broadcast(sure), "_key")
+    else:
+        found = salted_join(rows.select("_key", "_digest"), sure, ["_key"], "_digest")
     order = F.xxhash64(F.col("_key").cast("string"))
-    sure = sure.where("_low = _high").orderBy(order, "_key").limit(cfg.max_rows).select("_key", F.col("_low").alias("_y"))
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.join(F.broadcast(sure), F.col("_id") == F.col("_key")).select("_key", "_y", "_text")
+    found = found.distinct().orderBy(order, "_key", "_digest").limit(cfg.max_rows)
+    rows = rows.join(F.broadcast(found), ["_key", "_digest"]).dropDuplicates(["_key", "_digest"])
+    rows = rows.select("_key", "_y", "_text")
 
     def work(part: pa.RecordBatch, block: Block) -> dict:
         own = sparse_rows(block, cfg)

@@ -192,3 +192,13 @@ def test_classifier_learns_and_takes_odd_rows(spark):
     found = {r.doc_id: r for r in quality_classifier.classify(docs, weights).collect()}
     assert all((found[i].score > found[i + 1].score) == bool(i % 2) for i in range(79))
     assert 0 <= found[80].score == found[81].score <= 1
+
+
+def test_classifier_fits_no_more_rows_than_stated(spark):
+    rows = [(1, f"text {i % 30}") for i in range(60)] + [(i, f"own {i}") for i in range(2, 12)] + [(12, None), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    made = lambda n: quality_classifier.training_rows(
+        docs, labels, "true", quality_classifier.FtrlConfig(max_rows=n), "text", "doc_id"
+    ).count()
+    assert (made(7), made(41), made(1000)) == (7, 41, 41)
