@@ -13,14 +13,17 @@ import corpus_pipeline
 from ..session import stage
 from . import (
     byte_bpe,
+    conversation_repair,
     jpeg_media,
     kneser_ney,
     license_lookup,
     license_texts,
     near_dedup,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
+    secret_formats,
     url_rules,
     warc,
 )
@@ -137,6 +140,61 @@ def op8_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_lookup.find_licenses(table(spark, sf_dir, "documents"), known)
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """The rows with planted faults; ``times`` tells how often a row stands there."""
+    code = F.expr("crc32(CAST(concat(coalesce(CAST(conv_id AS STRING), ' '), ':', coalesce(CAST(turn AS STRING), ' ')) AS BINARY)) % 20")
+    text = F.coalesce("text", F.lit(" "))
+    return rows.withColumn("_code", code).select(
+        "conv_id",
+        "turn",
+        F.when(F.col("_code") == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(F.col("_code") == 1, "").when(F.col("_code") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(F.col("_code") == 0, 0).when(F.col("_code") == 3, 2).otherwise(1).alias("times"),
+    )
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = damaged_conversations(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_digests(damaged, times="times")
+
+
+WORDS = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by the checksum of its number, repeats a stretch of its words to its end."""
+    h = F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY))")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("_h"))
+    rows = rows.withColumn("_g", F.expr("_h DIV 10")).withColumn("_w", F.expr(f"CASE WHEN _h % 10 = 0 THEN {WORDS} END"))
+    rows = rows.withColumn("_a", F.expr("CASE WHEN size(_w) > 0 THEN CAST(_g % size(_w) AS INT) END"))
+    rows = rows.withColumn("_p", F.expr("CAST(1 + (size(_w) - _a) DIV (3 + _g % 8) AS INT)"))
+    tail = F.expr("transform(sequence(0, size(_w) - 1), i -> _w[IF(i < _a, i, _a + (i - _a) % _p)])")
+    changed = F.when(F.col("_a").isNotNull(), F.concat_ws(" ", tail)).otherwise(F.col("text"))
+    return rows.select("doc_id", changed.alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(repeated_tails(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_formats.find_secrets(docs, secret_formats.fit(docs))
+    listed = "array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    base = F.expr(listed.format(spans="filter(spans, s -> s.base)"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(base, 256).alias("base_sha256"),
+        F.expr(listed.format(spans="spans")).alias("spans"),
+    )
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
