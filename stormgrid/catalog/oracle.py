@@ -229,6 +229,26 @@ STORM_STATS = [
     stats("rain", 5, ids="storm_ids", out="storm_stats"),
 ]
 ORACLE["storm_statistics"] = with_(STORM_STATS, f"SELECT {STATS_COLS} FROM storm_stats")
+ORACLE["storm_statistics_smoothed"] = with_(
+    [
+        CELLS.replace("cells AS MATERIALIZED", "all_cells AS MATERIALIZED"),
+        """sparse AS (SELECT run_id, t, y, x, pr, CASE WHEN (x + y) % 13 > 0 THEN bt END AS bt FROM all_cells WHERE pr >= 1.5),
+d0 AS MATERIALIZED (SELECT r.run_id, r.t, CAST(ya.k AS INTEGER) AS y, CAST(xa.k AS INTEGER) AS x, coalesce(pr, 0.0::DOUBLE) AS pr, bt,
+  coalesce(bt, 0.0::DOUBLE) AS b, CASE WHEN bt IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS n
+  FROM (SELECT DISTINCT run_id, t FROM sparse) r CROSS JOIN range(40) ya(k) CROSS JOIN range(40) xa(k)
+  LEFT JOIN sparse s ON s.run_id = r.run_id AND s.t = r.t AND s.y = ya.k AND s.x = xa.k)""",
+        gauss_weights("wg", 40, 1.0),
+        smooth("d1", "d0", "x", "wg", "pr", "b", "n"),
+        smooth("d2", "d1", "y", "wg", "pr", "b", "n"),
+        """cells AS MATERIALIZED (SELECT run_id, t, y, x, d0.pr, d0.bt, d2.pr AS prs, CASE WHEN bt IS NOT NULL THEN d2.b / d2.n END AS bts
+  FROM d0 JOIN d2 USING (run_id, t, y, x))""",
+        GRID, METRICS,
+        components("rain", "SELECT run_id, t, y, x FROM cells WHERE prs >= 4"), steps("rain", "pr"), kept("rain", 500, 3),
+        components("cloud", "SELECT run_id, t, y, x FROM cells WHERE bts <= 241"), steps("cloud", "bt"), kept("cloud", 1000, 5),
+        *STORM_STATS[len(STORMS) - 1 :],
+    ],
+    f"SELECT {STATS_COLS} FROM storm_stats",
+)
 ORACLE["storm_summaries"] = with_(
     STORM_STATS,
     """SELECT run_id, object_id, round(max(size) / 1e6, 3) AS km2, round(sum(tot), 3) AS volume,

@@ -48,7 +48,7 @@ from ..operators.objects import (
 from ..operators.overlap import bbox_min, overlap_pairs, partner_area
 from ..operators.regrid import grid_weights, regrid
 from ..operators.resample import hourly_rain, median_substep
-from ..operators.smoothing import gaussian_smooth, gradient, local_minima, uniform_smooth
+from ..operators.smoothing import gaussian_smooth, gradients, local_minima, uniform_smooth
 from ..plans import kinds as K
 from ..plans.report import legacy_view, storm_accumulation, storm_series, storm_summary
 from ..plans.storms import classify_storms, cloud_objects, precipitation_objects, track_storms
@@ -362,6 +362,15 @@ def storm_statistics(spark, sf):
     return _stats(_numbered(spark, sf).stats("storm"))
 
 
+@query
+def storm_statistics_smoothed(spark, sf):
+    """Storms of sparse cells whose masks are taken from smoothed rain and temperature."""
+    rain, cloud = RainConfig(4.0, 3.0, 500.0, 1.0), CloudConfig(241.0, 5.0, 1000.0, 1.0)
+    cells = I.storm_cells(spark, sf).where("pr >= 1.5")
+    cells = cells.withColumn("bt", F.when(F.pmod(F.col("x") + F.col("y"), F.lit(13)) > 0, F.col("bt")))
+    return _stats(track_storms(cells, _grid(spark), TrackConfig(rain=rain, cloud=cloud)).stats("storm"))
+
+
 @query
 def storm_summaries(spark, sf):
     df = storm_summary(_numbered(spark, sf).stats("storm")).withColumn("km2", F.col("max_size_m2") / 1e6)
@@ -411,13 +420,14 @@ def gaussian_smooth_field(spark, sf):
 @query
 def gradient_fields(spark, sf):
     df = I.dense_fields(spark, sf).select(*CELL, "u", "tk")
-    df = gradient(gradient(gradient(df, "u", "y"), "tk", "x"), "tk", "t")
+    slopes = {"du_dy": ("u", "y"), "dtk_dx": ("tk", "x"), "dtk_dt": ("tk", "t")}
+    df = gradients(df, slopes, SIZE | {"t": I.NT}, keep=[])
     return df.select(*CELL, "du_dy", "dtk_dx", "dtk_dt")
 
 
 @query
 def local_minima_bt(spark, sf):
-    df = local_minima(I.dense_fields(spark, sf).select(*CELL, "bt", "slp"), "bt")
+    df = local_minima(I.dense_fields(spark, sf).select(*CELL, "bt", "slp"), "bt", lengths=SIZE)
     return df.where("is_minimum").select(*CELL)
 
 

@@ -1,26 +1,24 @@
-"""Filters along the axes of dense fields.
+"""Filters along the axes of fields, dense or sparse.
 
-Every filter is separable: one window per axis, over a single grid row, grid column
-or the time series of a single cell. Fields must be dense along the filtered axes
-(``densify`` adds the missing rows). Edges are mirrored: a b c | c b a.
+Neighbours are neighbouring positions, found on tiles with a halo (``stencil``); a missing
+row is a missing value. Edges are mirrored: a b c | c b a. Only the series of single
+objects are filtered by windows, over one object's steps.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
 from .grid import Grid
 from .joins import join_per_run
-
-AXES = ("t", "y", "x")
-# Frames wider than this are taken as differences of running sums.
-WIDE_FRAME = 8
+from .stencil import AXES, Tile, TileSize, apply_stencil, passes, sliding_sum
 
 
 def densify(cells: DataFrame, grid: Grid, fill: dict[str, float] | None = None) -> DataFrame:
@@ -37,10 +35,6 @@ def densify(cells: DataFrame, grid: Grid, fill: dict[str, float] | None = None)
     return dense.fillna(fill) if fill else dense
 
 
-def _others(axis: str) -> list[str]:
-    return ["run_id", *[a for a in AXES if a != axis]]
-
-
 @dataclass(frozen=True)
 class _Axis:
     """Length of an axis: one number, or a column with a known least value."""
@@ -49,19 +43,16 @@ class _Axis:
     n: Column
     least: int
 
-    @staticmethod
-    def fixed(name: str, n: int) -> "_Axis":
-        return _Axis(name, F.lit(n), n)
 
-
-def _with_axes(df: DataFrame, names: list[str], lengths: dict[str, int]) -> tuple[DataFrame, dict[str, _Axis]]:
-    """Axes to filter; the number of steps is found per run unless it is given."""
-    axes = {a: _Axis.fixed(a, lengths[a]) for a in names if a in lengths}
-    if "t" in names and "t" not in lengths:
-        steps = stage(df.groupBy("run_id").agg((F.max("t") + 1).alias("_nt")), "lengths")
-        df = join_per_run(df, steps)
-        axes["t"] = _Axis("t", F.col("_nt"), steps.agg(F.min("_nt")).first()[0] or 1)
-    return df, axes
+def _with_lengths(df: DataFrame, names: list[str], lengths: dict[str, int]) -> tuple[DataFrame, dict[str, int | Column]]:
+    """Lengths of some axes; those not given are found per run."""
+    found: dict[str, int | Column] = {a: lengths[a] for a in AXES if a in lengths}
+    missing = [a for a in names if a not in lengths]
+    if missing:
+        spans = df.groupBy("run_id").agg(*((F.max(a) + 1).cast("int").alias(f"_n_{a}") for a in missing))
+        df = join_per_run(df, spans)
+        found |= {a: F.col(f"_n_{a}") for a in missing}
+    return df, found
 
 
 def _mirrored(
@@ -86,40 +77,93 @@ def _mirrored(
     return df.withColumn(f"_{axis.name}", position).where(F.col(f"_{axis.name}").isNotNull())
 
 
-@dataclass(frozen=True)
-class _Frame:
-    """Window from ``start`` of ``width`` rows, plus ``turns`` whole mirror periods."""
-
-    start: int
-    width: int
-    turns: int
-
-    @property
-    def reach(self) -> tuple[int, int]:
-        return max(-self.start, 0), max(self.start + self.width - 1, 0)
-
-    def total(self, col: str, w) -> Column:
-        last = self.start + self.width - 1
-        if self.width == 0:
-            part = F.lit(0.0)
-        elif self.width < WIDE_FRAME:
-            part = F.sum(col).over(w.rowsBetween(self.start, last))
-        else:
-            before = F.lag(f"_run_{col}", 1 - self.start).over(w)
-            part = F.lag(f"_run_{col}", -last).over(w) - F.coalesce(before, F.lit(0.0))
-        return part + F.col(f"_row_{col}") * (2 * self.turns) if self.turns else part
+Line = Callable[[Tile, np.ndarray, str, str], np.ndarray]
+Finish = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _frame(size: int, n: int | None) -> _Frame:
-    """Boxcar of ``size``; a box wider than the mirrored axis repeats whole periods.
+def _separable(
+    df: DataFrame,
+    filters: dict[str, tuple[str, dict[str, int]]],
+    lengths: dict[str, int],
+    line: Line,
+    finish: Finish,
+    fill: float | None = None,
+) -> DataFrame:
+    """Filter sums of values and of their weights along the axes of each filter.
 
-    Any 2n neighbours of the mirrored axis hold each cell twice, so only the rest of
-    the box has to be looked at, and padding never exceeds two axis lengths.
+    ``filters`` maps an output to its column and its reach per axis; ``line`` filters one
+    axis of a tile. ``finish`` makes the result from both sums and from where the cell
+    itself has a value. ``fill`` stands for missing values of cells with and without rows;
+    cells without a row get one where the result is not 0.
     """
-    if n is None:
-        return _Frame(-(size // 2), size, 0)
-    turns, rest = divmod(size, 2 * n)
-    return _Frame(-((size // 2) % (2 * n)), rest, turns)
+    names = [a for a in ("x", "y", "t") if any(a in axes for _, axes in filters.values())]
+    reach = {a: max(axes.get(a, 0) for _, axes in filters.values()) for a in names}
+    keep = df.columns
+    df, sizes = _with_lengths(df, names, lengths)
+    steps = passes(names, reach, sizes) or [([], TileSize())]
+    rowed = ["_row"] if len(steps) > 1 else []
+    for i, (axes, size) in enumerate(steps):
+        first, final = i == 0, i == len(steps) - 1
+
+        def work(tile: Tile, axes: list = axes, first: bool = first, final: bool = final) -> dict:
+            made, seen = {}, False
+            for out, (col, own) in filters.items():
+                value, have = tile.field(col)
+                centre = tile.cut(have, *AXES)
+                if first:
+                    total, weight = value, have.astype(float)
+                    if fill is not None:
+                        total, weight = np.where(have, value, fill), np.ones(have.shape)
+                else:
+                    total, weight = tile.field(f"_s_{out}")[0], tile.field(f"_w_{out}")[0]
+                for axis in AXES:
+                    if axis in axes and axis in own:
+                        total, weight = line(tile, total, axis, out), line(tile, weight, axis, out)
+                    else:
+                        total, weight = tile.cut(total, axis), tile.cut(weight, axis)
+                if final:
+                    made[out] = finish(total, weight, centre)
+                else:
+                    made |= {f"_s_{out}": (total, weight > 0), f"_w_{out}": (weight, weight > 0)}
+                    seen = seen | (weight > 0)
+            return made if final else made | {"_seen": (seen * 1.0, seen)}
+
+        inputs = [c for c, _ in filters.values()] + ([] if first else [f"_{p}_{o}" for o in filters for p in "sw"])
+        if final:
+            made, emit = dict.fromkeys(filters, "double"), None if fill is None else next(iter(filters))
+        else:
+            made, emit = {f"_{p}_{o}": "double" for o in filters for p in "sw"} | {"_seen": "double"}, "_seen"
+        if first and not final:
+            df = df.withColumn("_row", F.lit(True))
+        near = {a: reach[a] for a in axes}
+        df = apply_stencil(df, near, sizes, list(dict.fromkeys(inputs)), made, work, size, emit, [*keep, *rowed] if final else None)
+        if not final:  # rows which only carry sums need the length of their run too
+            spans = [c for c in df.columns if c.startswith("_n_")]
+            if spans:
+                known = df.where("_row").groupBy("run_id").agg(*(F.first(c).alias(c) for c in spans))
+                df = join_per_run(df.drop(*spans), known)
+    if len(steps) > 1 and fill is None:
+        df = df.where("_row")
+    return df.select(*keep, *filters)
+
+
+def _box_line(sizes: dict[str, dict[str, int]]) -> Line:
+    """Sums over boxes. Any 2n neighbours of a mirrored axis hold each cell twice, so a longer
+    box is some totals of the axis and the sum over the rest of the box."""
+
+    def line(tile: Tile, field: np.ndarray, axis: str, out: str) -> np.ndarray:
+        k = AXES.index(axis)
+        n, size = tile.lengths[k], sizes[out][axis]
+        turns, rest = divmod(size, 2 * n)
+        before = (size // 2) % (2 * n)
+        total = 0.0
+        if rest:
+            total = sliding_sum(tile.around(field, axis, before, rest - 1 - before), k, rest)
+        if turns:
+            total = total + field.sum(axis=k, keepdims=True) * (2 * turns) * np.ones(tile.inside(axis, 0).shape)
+        return total
+
+    return line
 
 
 def uniform_smooth(
@@ -127,36 +171,23 @@ def uniform_smooth(
 ) -> DataFrame:
     """Boxcar means: ``filters`` maps an output name to ``(column, {axis: size})``.
 
-    NULLs are left out of the mean, because sums and counts are filtered apart and
-    divided once at the end. An even size leans to the left; size 1 or less leaves the
-    axis alone. All filters share one shuffle per axis. ``lengths`` gives ``y`` and ``x``;
-    the number of steps may differ between runs and is found here.
+    NULLs and absent rows are left out of the mean, because sums and counts are filtered
+    apart and divided once at the end. An even size leans to the left; size 1 or less leaves
+    the axis alone. ``lengths`` gives ``y`` and ``x``; the number of steps may differ between
+    runs and is found here. All filters share one shuffle while a tile with its halo is small.
     """
-    keep = df.columns
-    pairs = {}
-    for out, (col, sizes) in filters.items():
-        df = df.withColumn(f"s_{out}", F.coalesce(F.col(col).cast("double"), F.lit(0.0)))
-        df = df.withColumn(f"n_{out}", F.col(col).isNotNull().cast("double"))
-        pairs[out] = sizes
-    names = [a for a in ("x", "y", "t") if any(s.get(a, 1) > 1 for s in pairs.values())]
-    df, axes = _with_axes(df, names, lengths)
-    for axis in names:
-        active = {o: s[axis] for o, s in pairs.items() if s.get(axis, 1) > 1}
-        frames = {o: _frame(size, lengths.get(axis)) for o, size in active.items()}
-        before = max(f.reach[0] for f in frames.values())
-        after = max(f.reach[1] for f in frames.values())
-        cols = {f"{p}_{o}": f for o, f in frames.items() for p in ("s", "n")}
-        whole = Window.partitionBy(*_others(axis))
-        df = df.withColumns({f"_row_{c}": F.sum(c).over(whole) for c, f in cols.items() if f.turns})
-        df = _mirrored(df, axes[axis], before, after, _others(axis))
-        w = whole.orderBy(f"_{axis}")
-        up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumns({f"_run_{c}": F.sum(c).over(up_to) for c, f in cols.items() if f.width >= WIDE_FRAME})
-        df = df.withColumns({c: f.total(c, w) for c, f in cols.items()})
-        df = df.where((F.col(f"_{axis}") >= 0) & (F.col(f"_{axis}") < axes[axis].n))
-        df = df.drop(f"_{axis}", *[f"_{p}_{c}" for c in cols for p in ("run", "row")])
-    means = [(F.col(f"s_{o}") / F.nullif(F.col(f"n_{o}"), F.lit(0.0))).alias(o) for o in pairs]
-    return df.select(*keep, *means)
+    sizes = {o: {a: n for a, n in axes.items() if n > 1} for o, (_, axes) in filters.items()}
+
+    def reach(axis: str, size: int) -> int:
+        return min(size // 2, lengths[axis]) if axis in lengths else size // 2
+
+    near = {o: (c, {a: reach(a, n) for a, n in sizes[o].items()}) for o, (c, _) in filters.items()}
+
+    def finish(total: np.ndarray, weight: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = weight > 0
+        return np.divide(total, weight, out=np.zeros(total.shape), where=known), known
+
+    return _separable(df, near, lengths, _box_line(sizes), finish)
 
 
 def gaussian_weights(sigma: float, truncate: float) -> list[float]:
@@ -194,36 +225,101 @@ def gaussian_smooth(
     lengths: dict[str, int],
     truncate: float = 4.0,
     out: str | None = None,
+    missing: str | float = "null",
 ) -> DataFrame:
-    """Gaussian filter; sigma 0 leaves an axis alone. A NULL under the kernel gives NULL."""
-    out = out or f"{col}_smooth"
-    df = df.withColumn(out, F.col(col).cast("double"))
-    names = [a for a in ("x", "y", "t") if sigmas.get(a, 0) > 0]
-    df, axes = _with_axes(df, names, lengths)
-    for axis in names:
-        df = _gaussian_pass(df, out, axes[axis], gaussian_weights(sigmas[axis], truncate), _others(axis))
-    return df.drop("_nt")
-
-
-def gradient(df: DataFrame, col: str, axis: str, out: str | None = None) -> DataFrame:
-    """Central difference with unit spacing, one-sided at the ends of the axis."""
-    w = Window.partitionBy(*_others(axis)).orderBy(axis)
-    here, before, after = F.col(col), F.lag(col).over(w), F.lead(col).over(w)
-    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
-    slope = F.when(first, after - here).when(last, here - before).otherwise((after - before) / 2)
-    return df.withColumn(out or f"d{col}_d{axis}", slope)
+    """Gaussian filter; sigma 0 leaves an axis alone.
 
+    ``missing`` says what an absent row or NULL under the kernel means: ``"null"`` gives
+    NULL, ``"skip"`` leaves it out and scales the other weights up (a missing cell itself
+    stays NULL), and a number stands for it, so that cells without a row get one where the
+    result is not 0.
+    """
+    out = out or f"{col}_smooth"
+    weights = {a: gaussian_weights(s, truncate) for a, s in sigmas.items() if s > 0}
+    near = {a: len(w) // 2 for a, w in weights.items()}
+    fill = missing if isinstance(missing, (int, float)) else None
+
+    def line(tile: Tile, field: np.ndarray, axis: str, _: str) -> np.ndarray:
+        k, r = AXES.index(axis), near[axis]
+        wide = tile.around(field, axis, r, r)
+        n = wide.shape[k] - 2 * r
+        total = np.zeros(())
+        for step, w in enumerate(weights[axis]):
+            total = total + w * np.take(wide, np.arange(step, step + n), axis=k)
+        return total
+
+    def finish(total: np.ndarray, weight: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if fill is not None:
+            return total, np.ones(total.shape, bool)
+        known = centre & (weight > 0) if missing == "skip" else weight > 1 - 1e-9
+        return np.divide(total, weight, out=np.zeros(total.shape), where=known), known
+
+    return _separable(df, {out: (col, near)}, lengths, line, finish, fill)
+
+
+def gradients(
+    df: DataFrame, slopes: dict[str, tuple[str, str]], lengths: dict[str, int] | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """Central differences with unit spacing, one-sided at the ends of the axis.
 
-def local_minima(df: DataFrame, col: str, out: str = "is_minimum") -> DataFrame:
+    ``slopes`` maps an output to ``(column, axis)``. Neighbours are neighbouring positions:
+    where one is missing, the slope is NULL. Axes of one cell have no slope. All slopes
+    share one shuffle; axis lengths which are not given are found per run. ``keep`` names
+    the columns to return beside the slopes (all by default).
+    """
+    names = [a for a in AXES if any(a == axis for _, axis in slopes.values())]
+    keep = df.columns if keep is None else ["run_id", *AXES, *keep]
+    df, sizes = _with_lengths(df, names, lengths or {})
+
+    def work(tile: Tile) -> dict:
+        made = {}
+        for out, (col, axis) in slopes.items():
+            value, have = tile.field(col)
+            others = [a for a in AXES if a != axis]
+            k = AXES.index(axis)
+            wide, there = tile.around(tile.cut(value, *others), axis, 1, 1), tile.around(tile.cut(have, *others), axis, 1, 1)
+            n = wide.shape[k] - 2
+            before, after = np.take(wide, np.arange(n), k), np.take(wide, np.arange(2, n + 2), k)
+            # beyond an edge the mirror shows the cell itself, so the difference is one-sided
+            span = tile.inside(axis, -1).astype(int) + tile.inside(axis, 1)
+            known = np.take(there, np.arange(n), k) & np.take(there, np.arange(2, n + 2), k) & (span > 0)
+            made[out] = (after - before) / np.maximum(span, 1), known
+        return made
+
+    near = dict.fromkeys(names, 1)
+    inputs = list(dict.fromkeys(c for c, _ in slopes.values()))
+    df = apply_stencil(df, near, sizes, inputs, dict.fromkeys(slopes, "double"), work, keep=keep)
+    return df.select(*keep, *slopes)
+
+
+def gradient(df: DataFrame, col: str, axis: str, out: str | None = None, lengths: dict[str, int] | None = None) -> DataFrame:
+    """One slope, see ``gradients``."""
+    return gradients(df, {out or f"d{col}_d{axis}": (col, axis)}, lengths)
+
+
+def local_minima(df: DataFrame, col: str, out: str = "is_minimum", lengths: dict[str, int] | None = None) -> DataFrame:
     """Cells equal to the minimum of their 3 x 3 neighbourhood in a step.
 
-    A zero cell among zeros only is background, not a trough.
+    A zero cell among zeros only is background, not a trough. Missing neighbours do not
+    count; a missing cell has no answer.
     """
-    row = Window.partitionBy("run_id", "t", "y").orderBy("x").rowsBetween(-1, 1)
-    column = Window.partitionBy("run_id", "t", "x").orderBy("y").rowsBetween(-1, 1)
-    df = df.withColumns(
-        {"_low": F.min(col).over(row), "_flat": F.min((F.col(col) == 0).cast("int")).over(row)}
-    )
-    df = df.withColumns({"_low": F.min("_low").over(column), "_flat": F.min("_flat").over(column)})
-    minimum = (F.col(col) == F.col("_low")) != (F.col("_flat") == 1)
-    return df.withColumn(out, minimum).drop("_low", "_flat")
+    keep = df.columns
+    df, sizes = _with_lengths(df, ["y", "x"], lengths or {})
+
+    def work(tile: Tile) -> dict:
+        value, have = tile.field(col)
+        low, high = np.where(have, value, np.inf), np.where(have, np.abs(value), 0.0)
+        here, known = tile.cut(value, *AXES), tile.cut(have, *AXES)
+        for axis in AXES:
+            if axis == "t":
+                low, high = tile.cut(low, axis), tile.cut(high, axis)
+                continue
+            k = AXES.index(axis)
+            low, high = tile.around(low, axis, 1, 1), tile.around(high, axis, 1, 1)
+            n = low.shape[k] - 2
+            low = np.minimum.reduce([np.take(low, np.arange(i, i + n), k) for i in range(3)])
+            high = np.maximum.reduce([np.take(high, np.arange(i, i + n), k) for i in range(3)])
+        return {out: ((here == low) != (high == 0), known)}
+
+    df = apply_stencil(df, {"y": 1, "x": 1}, sizes, [col], {out: "boolean"}, work, keep=keep)
+    return df.select(*keep, out)
