@@ -6,9 +6,13 @@ the same values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage_dir
+
 NY = NX = 40
 NT = 48
 
@@ -127,3 +131,19 @@ def gauge_reports(events: DataFrame) -> DataFrame:
         "CAST(CAST(get_json_object(props, '$.k') AS INT) % 12 AS INT) AS x",
         "value",
     )
+
+
+def reanalysis_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a reanalysis archive: files by variable and day, five levels or none."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "date_trunc('HOUR', CAST(ts AS TIMESTAMP)) AS time",
+        "CASE WHEN event_id % 3 = 0 THEN 'MSL' ELSE 'T' END AS name",
+        "CASE WHEN event_id % 3 > 0 THEN 800 + 25.0D * (user_id % 5) END AS level",
+        "CAST(user_id % 12 AS INT) AS y",
+        "CAST(event_id % 7 AS INT) AS x",
+        "value",
+    )
+    rows = rows.selectExpr("*", "year(time) AS year", "month(time) AS month", "dayofmonth(time) AS day")
+    path = f"{stage_dir(spark)}/stormgrid/archive-{uuid.uuid4().hex}"
+    rows.repartition("name", "day").write.partitionBy("name", "year", "month", "day").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

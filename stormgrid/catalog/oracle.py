@@ -143,6 +143,11 @@ ORACLE["stacked_variables"] = with_(
     """SELECT run_id, t, y, x, CASE WHEN pr > 10 THEN round(pr, 6) END AS pr,
       CASE WHEN bt > 10 THEN round(bt, 6) END AS bt FROM cells WHERE pr > 10 OR bt > 10""",
 )
+ORACLE["reanalysis_scan"] = """
+WITH r AS (SELECT epoch_us(ts) // 3600000000 * 3600 AS epoch, event_id % 3 AS kind, 800 + 25 * (user_id % 5) AS level,
+  CAST(user_id % 12 AS INTEGER) AS y, CAST(event_id % 7 AS INTEGER) AS x, value, day(ts) AS d, hour(ts) AS h FROM events)
+SELECT CASE WHEN kind = 0 THEN 'SLP' ELSE 'T' END AS variable, epoch, y, x, value FROM r
+WHERE d IN (3, 4, 9) AND h % 6 = 0 AND (kind = 0 OR (level = 850 AND y <= 9 AND x >= 1))"""
 ORACLE["label_components_space_time"] = with_([CELLS, RAIN], labels_of("rain"))
 ORACLE["slice_components"] = with_(
     [CELLS, components("body", "SELECT run_id, t, y, x FROM cells WHERE bt <= 241", slice_only=True)],

@@ -53,7 +53,7 @@ from ..plans import kinds as K
 from ..plans.report import legacy_view, storm_accumulation, storm_series, storm_summary
 from ..plans.storms import classify_storms, cloud_objects, precipitation_objects, track_storms
 from ..session import stage
-from ..sources.fields import align_fields, crop, stack_variables, time_axis, with_step_index
+from ..sources.fields import align_fields, crop, scan_variable, stack_variables, time_axis, with_step_index
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +219,17 @@ def stacked_variables(spark, sf):
     return rounded(stack_variables(fields), pr=6, bt=6)
 
 
+@query
+def reanalysis_scan(spark, sf):
+    """Temperature at the level nearest to 860 and surface pressure, every sixth hour of three days."""
+    src = I.reanalysis_files(spark, sf)
+    days = F.dayofmonth("time").isin(3, 4, 9) & (F.hour("time") % 6 == 0)
+    times = src.where(days).select("time").distinct()
+    air = scan_variable(src, "T", times, 860.0, (0, 9, 1, 6)).withColumn("variable", F.lit("T"))
+    found = air.unionByName(scan_variable(src, "SLP", times).withColumn("variable", F.lit("SLP")))
+    return found.select("variable", F.unix_timestamp("time").alias("epoch"), "y", "x", "value")
+
+
 # ------------------------------------------------------------------------- components
 
 

@@ -13,6 +13,10 @@ from ..operators.joins import join_per_run
 from ..operators.regrid import regrid
 from ..operators.resample import hourly_rain, median_substep
 from ..schema import nan_to_null
+from ..session import stage
+
+# Wanted days up to this number become a predicate; more are joined.
+MAX_DATES = 4096
 
 # Variable, archive stem, name inside the files, and whether it has levels.
 VARIABLES = [
@@ -147,6 +151,33 @@ def make_grid(lats: DataFrame, lons: DataFrame, region: tuple[float, float, floa
     return grid if region is None else crop(grid, grid, region)
 
 
+def on_dates(dates: list[tuple]) -> Column:
+    """Predicate on the partition columns ``year, month, day``, one term per month."""
+    months: dict[tuple, list] = {}
+    for year, month, day in dates:
+        months.setdefault((year, month), []).append(day)
+    terms = [(F.col("year") == y) & (F.col("month") == m) & F.col("day").isin(days) for (y, m), days in sorted(months.items())]
+    return reduce(lambda a, b: a | b, terms, F.lit(False))
+
+
+def prune_dates(src: DataFrame, times: DataFrame) -> tuple[DataFrame, Column | None]:
+    """Rows of the days which hold a wanted time stamp, and the predicate of the first such day.
+
+    Up to ``MAX_DATES`` days become a predicate on the partitions, so other files are not
+    even listed; beyond that the days are joined, and Spark prunes partitions while it runs.
+    """
+    if not {"year", "month", "day"} <= set(src.columns):
+        return src, None
+    parts = [f(F.col("time")).alias(n) for f, n in ((F.year, "year"), (F.month, "month"), (F.dayofmonth, "day"))]
+    dates = stage(times.where("time IS NOT NULL").select(*parts).distinct(), "dates")
+    if dates.count() <= MAX_DATES:
+        found = sorted((r.year, r.month, r.day) for r in dates.collect())
+        return src.where(on_dates(found)), on_dates(found[:1])
+    first = dates.agg(F.min(F.struct("year", "month", "day")).alias("d")).first().d
+    # any comparison on the small side makes Spark prune by it
+    return src.join(dates.where("year > 0"), ["year", "month", "day"], "left_semi"), on_dates([tuple(first)])
+
+
 def scan_variable(
     src: DataFrame,
     var: str,
@@ -157,15 +188,20 @@ def scan_variable(
     """One reanalysis variable at the nearest level, wanted times and region.
 
     ``src`` has ``name, year, month, day, time, level, y, x, value`` (surface variables
-    have a NULL level), partitioned by name and date, so the filters prune files.
+    have a NULL level), partitioned by name and date. Only the files of the variable on
+    wanted days are read, and the axis of levels is taken from the first of these days.
     """
     stem = {v: (name, has_levels) for v, _, name, has_levels in VARIABLES}
     name, has_levels = stem[var]
-    df = src.where(F.col("name") == name)
+    own = src.where(F.col("name") == name)
+    df, first_day = prune_dates(own, times)
     if box is not None:
         df = df.where(F.col("y").between(*box[:2]) & F.col("x").between(*box[2:]))
     if has_levels:
-        pick = df.agg(F.min_by("level", F.struct(F.abs(F.col("level") - level), "level"))).first()[0]
+        nearest_level = F.min_by("level", F.struct(F.abs(F.col("level") - level), "level"))
+        pick = None if first_day is None else own.where(first_day).agg(nearest_level).first()[0]
+        if pick is None:  # no such day, or a source without dates
+            pick = df.agg(nearest_level).first()[0]
         df = df.where(F.col("level") == F.lit(pick))
     return select_times(df, times).select("time", "y", "x", "value")
 

@@ -78,6 +78,34 @@ def test_reanalysis_variable_at_nearest_level(spark):
     assert {r.want: r.nearest for r in S.nearest(src.where("level IS NOT NULL"), wants, "level").collect()} == {840.0: 850.0, 100.0: 500.0}
 
 
+@pytest.mark.parametrize("most", [S.MAX_DATES, 0])
+def test_only_files_of_wanted_days_are_read(spark, tmp_path, monkeypatch, most):
+    """Files of other days and variables are not parquet at all, so reading one would fail."""
+    monkeypatch.setattr(S, "MAX_DATES", most)
+    rows = [
+        (n, 2016, 7, d, dt.datetime(2016, 7, d, h), lev, 0, 0, 100.0 * d + h)
+        for n in ("T", "Q") for d in (1, 2, 3) for h in (0, 6) for lev in (500.0, 850.0)
+    ]
+    kind = "name string, year int, month int, day int, time timestamp, level double, y int, x int, value double"
+    df = spark.createDataFrame(rows, kind)
+    df.write.partitionBy("name", "year", "month", "day").parquet(f"{tmp_path}/a")
+    for part in (tmp_path / "a").glob("name=*/year=2016/month=7/day=*"):
+        if not (part.match("name=T/*/*/day=1") or part.match("name=T/*/*/day=3")):
+            for file in part.glob("*.parquet"):
+                file.write_bytes(b"not parquet")
+            for file in part.glob(".*.crc"):
+                file.unlink()
+    src = spark.read.schema(df.schema).parquet(f"{tmp_path}/a")
+    times = spark.createDataFrame([(dt.datetime(2016, 7, 1, 6),), (dt.datetime(2016, 7, 3),), (None,)], "time timestamp")
+    got = S.scan_variable(src, "T", times, 800.0)
+    assert sorted(r.value for r in got.collect()) == [106.0, 300.0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("PartitionFilters: [(name#" if most else "dynamicpruning") in plan or "PartitionFilters: [isnotnull(name" in plan
+    assert most or "dynamicpruning" in plan
+    nothing = S.scan_variable(src, "T", times.where("time IS NULL"), 800.0)
+    assert nothing.count() == 0
+
+
 def test_half_hours_to_sums(spark):
     rows = [(t, 0, 0, float(k)) for k, t in enumerate(hours(8, 30))]
     df = spark.createDataFrame(rows, "time timestamp, y int, x int, pr double")
