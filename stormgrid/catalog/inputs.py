@@ -92,6 +92,17 @@ def run_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even runs lie on a mesh around the globe, odd ones on a finer regional mesh."""
+    return run_grids(spark, sf_dir).selectExpr(
+        "run_id",
+        "y",
+        "x",
+        "CASE WHEN run_id % 2 = 0 THEN -60 + 3.0D * y ELSE lat END AS lat",
+        f"CASE WHEN run_id % 2 = 0 THEN -179 + 358.0D * x / {NX - 1} ELSE lon END AS lon",
+    )
+
+
 def dense_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell and step of every run, with wind, moisture, heat and storm fields."""
     spine = _spread(run_ids(spark, sf_dir), "run_id")

@@ -162,6 +162,15 @@ ORACLE["dateline_merge"] = with_(
     ],
     labels_of("roll"),
 )
+ORACLE["mixed_grid_seams"] = with_(
+    [
+        CELLS,
+        components(
+            "roll", "SELECT run_id, t, y, CAST((x + 20) % 40 AS INTEGER) AS x FROM cells WHERE pr >= 5", seam=True
+        ).replace("a.node <> b.node", "a.node <> b.node AND a.run_id % 2 = 0"),
+    ],
+    labels_of("roll"),
+)
 ORACLE["dense_object_ids"] = with_(
     [CELLS, RAIN],
     """SELECT run_id, object_key, row_number() OVER (PARTITION BY run_id ORDER BY object_key) AS object_id

@@ -253,6 +253,15 @@ def dateline_merge(spark, sf):
     return label_components(mask, wrap_nx=I.NX).select(*CELL, "object_key")
 
 
+@query
+def mixed_grid_seams(spark, sf):
+    """The same storms on global and regional grids in one job: only global runs have a seam."""
+    grid = measure_grid(I.mixed_grids(spark, sf))
+    mask = I.storm_cells(spark, sf).where("pr >= 5")
+    mask = mask.select("run_id", "t", "y", F.pmod(F.col("x") + 20, F.lit(I.NX)).cast("int").alias("x"))
+    return label_components(mask, wrap_nx=grid.wrap_nx).select(*CELL, "object_key")
+
+
 @query
 def dense_object_ids(spark, sf):
     return dense_ids(_rain_steps(spark, sf))

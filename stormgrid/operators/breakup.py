@@ -56,7 +56,7 @@ def breakup_objects(
     cells: DataFrame,
     min_steps: int | Column,
     avg_parts: float = 1.5,
-    wrap_nx: int | None = None,
+    wrap_nx: int | DataFrame | None = None,
     tile: Tile = Tile(),
 ) -> DataFrame:
     """Renumber objects after splitting those with more than ``avg_parts`` bodies per step.

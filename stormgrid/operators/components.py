@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geodesy import KEY_BITS, cell_key
 from ..session import stage
+from .joins import join_per_run
 
 # No join key may bring more rows than this into one task; heavier keys are salted.
 MAX_ROWS_PER_KEY = 200_000
@@ -199,14 +200,14 @@ def _tile_labeller(spec: list[tuple[str, bool, str | None]], tile: Tile, out: pa
 def label_masks(
     cells: DataFrame,
     masks: dict[str, Mask | Column],
-    wrap_nx: int | None = None,
+    wrap_nx: int | DataFrame | None = None,
     tile: Tile = Tile(),
 ) -> Labels:
     """Label several masks of one cell table in a single shuffle.
 
     ``cells`` has ``run_id, t, y, x`` with non-negative indices; cells outside every
     mask are dropped. With ``wrap_nx`` the last column touches the first one of the
-    same row and step.
+    same row and step; a table ``run_id, wrap_nx`` tells it for the runs which have a seam.
     """
     masks = {k: m if isinstance(m, Mask) else Mask(m) for k, m in masks.items()}
     kinds = list(masks)
@@ -237,7 +238,7 @@ def label_masks(
 
 
 def _piece_links(
-    pieces: DataFrame, masks: dict[str, Mask], wrap_nx: int | None, tile: Tile, in_time: bool
+    pieces: DataFrame, masks: dict[str, Mask], wrap_nx: int | DataFrame | None, tile: Tile, in_time: bool
 ) -> DataFrame:
     """Pairs of pieces which claim the same border cell (or touch across the seam)."""
     named = F.array(
@@ -254,8 +255,11 @@ def _piece_links(
     face = _low_face(tile, in_time)
     claims = pieces.where(face).select("run_id", key.alias("cell"), F.explode(named).alias("p"))
     if wrap_nx is not None:
-        last = cell_key(F.col("t"), F.col("y"), F.lit(wrap_nx - 1))
-        seam = pieces.where((F.col("x") == 0) | (F.col("x") == wrap_nx - 1))
+        one_size = isinstance(wrap_nx, int)
+        end = (F.lit(wrap_nx) if one_size else F.col("wrap_nx")) - 1
+        last = cell_key(F.col("t"), F.col("y"), end)
+        seam = pieces if one_size else join_per_run(pieces, wrap_nx)
+        seam = seam.where((F.col("x") == 0) | (F.col("x") == end))
         claims = claims.unionByName(
             seam.select("run_id", last.alias("cell"), F.explode(named).alias("p"))
         )
@@ -345,7 +349,7 @@ def reduce_to_stars(edges: DataFrame, by: list[str]) -> DataFrame | None:
 def label_components(
     mask: DataFrame,
     connectivity: str = "space_time",
-    wrap_nx: int | None = None,
+    wrap_nx: int | DataFrame | None = None,
     within: str | None = None,
     tile: Tile = Tile(),
 ) -> DataFrame:

@@ -75,7 +75,11 @@ def mean_spacing(metrics: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Grid:
-    """A measured grid: its table, size, spacing and whether it closes on itself."""
+    """A measured grid: its table, size, spacing and whether it closes on itself.
+
+    If the grid differs from run to run, ``runs`` holds ``run_id, ny, nx, closes, spacing_m``
+    of each, and the numbers are the largest size and the mean spacing of all.
+    """
 
     df: DataFrame
     keys: list[str]
@@ -84,10 +88,14 @@ class Grid:
     ny: int
     nx: int
     closes: bool
+    runs: DataFrame | None = None
 
     @property
-    def wrap_nx(self) -> int | None:
-        return self.nx if self.closes else None
+    def wrap_nx(self) -> int | DataFrame | None:
+        """Columns of a grid which closes on itself; a table ``run_id, wrap_nx`` if runs differ."""
+        if not self.closes:
+            return None
+        return self.nx if self.runs is None else self.runs.where("closes").select("run_id", F.col("nx").alias("wrap_nx"))
 
     def attach(self, cells: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
         """Add grid columns to cells; broadcast only below ``MAX_BROADCAST_POINTS``."""
@@ -97,30 +105,30 @@ class Grid:
         return cells.join(side, self.keys, how)
 
     def attach_spacing(self, df: DataFrame) -> DataFrame:
-        if "run_id" in self.keys:
-            return df.join(mean_spacing(self.df), "run_id")
+        if self.runs is not None:
+            return df.join(self.runs.select("run_id", "spacing_m"), "run_id")
         return df.withColumn("spacing_m", F.lit(self.spacing_m))
 
 
 def measure_grid(grid: DataFrame, regular: bool = False) -> Grid:
-    """Compute metrics once, store them, and read off size, spacing and seam."""
+    """Compute metrics once, store them, and read off size, spacing and seam, run by run."""
     metrics = stage(regular_grid_metrics(grid) if regular else grid_metrics(grid), "grid")
     first = F.struct("y", "x")
     last = F.struct(-F.col("y"), "x")
-    row = metrics.agg(
+    per_run = "run_id" in metrics.columns
+    measured = metrics.groupBy(*(["run_id"] if per_run else [])).agg(
         F.count(F.lit(1)).alias("points"),
-        ((F.avg("dx_m") + F.avg("dy_m")) / 2).alias("spacing"),
-        (F.max("y") + 1).alias("ny"),
-        (F.max("x") + 1).alias("nx"),
-        F.min_by("lon", first).alias("west"),
-        F.max_by("lon", last).alias("east"),
-    ).first()
-    return Grid(
-        metrics,
-        grid_keys(metrics),
-        row["points"],
-        row["spacing"],
-        row["ny"],
-        row["nx"],
-        row["west"] < -176 and row["east"] > 176,
+        ((F.avg("dx_m") + F.avg("dy_m")) / 2).alias("spacing_m"),
+        (F.max("y") + 1).cast("int").alias("ny"),
+        (F.max("x") + 1).cast("int").alias("nx"),
+        ((F.min_by("lon", first) < -176) & (F.max_by("lon", last) > 176)).alias("closes"),
     )
+    runs = stage(measured, "grid-runs") if per_run else None
+    row = (measured if runs is None else runs).agg(
+        F.sum("points").alias("points"),
+        (F.sum(F.col("spacing_m") * F.col("points")) / F.sum("points")).alias("spacing"),
+        F.max("ny").alias("ny"),
+        F.max("nx").alias("nx"),
+        F.max("closes").alias("closes"),
+    ).first()
+    return Grid(metrics, grid_keys(metrics), row["points"], row["spacing"], row["ny"], row["nx"], row["closes"], runs)

@@ -191,7 +191,7 @@ def object_stats(steps: DataFrame, grid: Grid, min_steps: int = 1, by: tuple[str
     points = Grid(
         grid.df.withColumnsRenamed({"y": "track_y", "x": "track_x"}),
         [k if k == "run_id" else f"track_{k}" for k in grid.keys],
-        grid.points, grid.spacing_m, grid.ny, grid.nx, grid.closes,
+        grid.points, grid.spacing_m, grid.ny, grid.nx, grid.closes, grid.runs,
     )
     return points.attach(df, ["lat", "lon"], "left").drop("track_y", "track_x", "spacing_m")
 

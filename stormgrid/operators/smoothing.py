@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -44,10 +45,22 @@ class _Axis:
     least: int
 
 
-def _with_lengths(df: DataFrame, names: list[str], lengths: dict[str, int]) -> tuple[DataFrame, dict[str, int | Column]]:
-    """Lengths of some axes; those not given are found per run."""
-    found: dict[str, int | Column] = {a: lengths[a] for a in AXES if a in lengths}
-    missing = [a for a in names if a not in lengths]
+Lengths = dict[str, int] | Grid
+
+
+def _with_lengths(df: DataFrame, names: list[str], lengths: Lengths) -> tuple[DataFrame, dict[str, int | Column]]:
+    """Lengths of some axes: given, known of the grid (perhaps run by run), or found per run."""
+    found: dict[str, int | Column] = {}
+    if isinstance(lengths, Grid):
+        known = [a for a in names if a != "t"]
+        if lengths.runs is None:
+            found = {"y": lengths.ny, "x": lengths.nx}
+        elif known:
+            df = join_per_run(df, lengths.runs.select("run_id", *(F.col(f"n{a}").alias(f"_n_{a}") for a in known)))
+            found = {a: F.col(f"_n_{a}") for a in known}
+    else:
+        found = {a: lengths[a] for a in AXES if a in lengths}
+    missing = [a for a in names if a not in found]
     if missing:
         spans = df.groupBy("run_id").agg(*((F.max(a) + 1).cast("int").alias(f"_n_{a}") for a in missing))
         df = join_per_run(df, spans)
@@ -84,10 +97,11 @@ Finish = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.nda
 def _separable(
     df: DataFrame,
     filters: dict[str, tuple[str, dict[str, int]]],
-    lengths: dict[str, int],
+    lengths: Lengths,
     line: Line,
     finish: Finish,
     fill: float | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Filter sums of values and of their weights along the axes of each filter.
 
@@ -128,7 +142,7 @@ def _separable(
                     seen = seen | (weight > 0)
             return made if final else made | {"_seen": (seen * 1.0, seen)}
 
-        inputs = [c for c, _ in filters.values()] + ([] if first else [f"_{p}_{o}" for o in filters for p in "sw"])
+        inputs = [c for c, _ in filters.values()] + (columns or []) + ([] if first else [f"_{p}_{o}" for o in filters for p in "sw"])
         if final:
             made, emit = dict.fromkeys(filters, "double"), None if fill is None else next(iter(filters))
         else:
@@ -138,7 +152,7 @@ def _separable(
         near = {a: reach[a] for a in axes}
         df = apply_stencil(df, near, sizes, list(dict.fromkeys(inputs)), made, work, size, emit, [*keep, *rowed] if final else None)
         if not final:  # rows which only carry sums need the length of their run too
-            spans = [c for c in df.columns if c.startswith("_n_")]
+            spans = [c for c in df.columns if c.startswith("_n_")] + (columns or [])
             if spans:
                 known = df.where("_row").groupBy("run_id").agg(*(F.first(c).alias(c) for c in spans))
                 df = join_per_run(df.drop(*spans), known)
@@ -147,13 +161,25 @@ def _separable(
     return df.select(*keep, *filters)
 
 
-def _box_line(sizes: dict[str, dict[str, int]]) -> Line:
+class RunSize(NamedTuple):
+    """A size which differs from run to run: its column, and the largest value."""
+
+    column: str
+    most: int
+
+
+Sizes = dict[str, int | RunSize]
+
+
+def _box_line(sizes: dict[str, Sizes]) -> Line:
     """Sums over boxes. Any 2n neighbours of a mirrored axis hold each cell twice, so a longer
     box is some totals of the axis and the sum over the rest of the box."""
 
     def line(tile: Tile, field: np.ndarray, axis: str, out: str) -> np.ndarray:
         k = AXES.index(axis)
         n, size = tile.lengths[k], sizes[out][axis]
+        if isinstance(size, RunSize):
+            size = max(tile.first(size.column), 1)
         turns, rest = divmod(size, 2 * n)
         before = (size // 2) % (2 * n)
         total = 0.0
@@ -166,28 +192,34 @@ def _box_line(sizes: dict[str, dict[str, int]]) -> Line:
     return line
 
 
-def uniform_smooth(
-    df: DataFrame, filters: dict[str, tuple[str, dict[str, int]]], lengths: dict[str, int]
-) -> DataFrame:
+def uniform_smooth(df: DataFrame, filters: dict[str, tuple[str, Sizes]], lengths: Lengths) -> DataFrame:
     """Boxcar means: ``filters`` maps an output name to ``(column, {axis: size})``.
 
     NULLs and absent rows are left out of the mean, because sums and counts are filtered
     apart and divided once at the end. An even size leans to the left; size 1 or less leaves
-    the axis alone. ``lengths`` gives ``y`` and ``x``; the number of steps may differ between
-    runs and is found here. All filters share one shuffle while a tile with its halo is small.
+    the axis alone. ``lengths`` gives ``y`` and ``x`` or the grid; the number of steps may
+    differ between runs and is found here. All filters share one shuffle while a tile with
+    its halo is small.
     """
-    sizes = {o: {a: n for a, n in axes.items() if n > 1} for o, (_, axes) in filters.items()}
+    sizes = {
+        o: {a: n for a, n in axes.items() if (n.most if isinstance(n, RunSize) else n) > 1} for o, (_, axes) in filters.items()
+    }
+    fixed = {a: n for a, n in lengths.items()} if isinstance(lengths, dict) else {}
+    if isinstance(lengths, Grid):
+        fixed = {"y": lengths.ny, "x": lengths.nx}  # the largest of all runs: reach is never more
 
-    def reach(axis: str, size: int) -> int:
-        return min(size // 2, lengths[axis]) if axis in lengths else size // 2
+    def reach(axis: str, size: int | RunSize) -> int:
+        size = size.most if isinstance(size, RunSize) else size
+        return min(size // 2, fixed[axis]) if axis in fixed else size // 2
 
     near = {o: (c, {a: reach(a, n) for a, n in sizes[o].items()}) for o, (c, _) in filters.items()}
+    columns = sorted({n.column for axes in sizes.values() for n in axes.values() if isinstance(n, RunSize)})
 
     def finish(total: np.ndarray, weight: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = weight > 0
         return np.divide(total, weight, out=np.zeros(total.shape), where=known), known
 
-    return _separable(df, near, lengths, _box_line(sizes), finish)
+    return _separable(df, near, lengths, _box_line(sizes), finish, columns=columns)
 
 
 def gaussian_weights(sigma: float, truncate: float) -> list[float]:
@@ -222,7 +254,7 @@ def gaussian_smooth(
     df: DataFrame,
     col: str,
     sigmas: dict[str, float],
-    lengths: dict[str, int],
+    lengths: Lengths,
     truncate: float = 4.0,
     out: str | None = None,
     missing: str | float = "null",
@@ -258,7 +290,7 @@ def gaussian_smooth(
 
 
 def gradients(
-    df: DataFrame, slopes: dict[str, tuple[str, str]], lengths: dict[str, int] | None = None, keep: list[str] | None = None
+    df: DataFrame, slopes: dict[str, tuple[str, str]], lengths: Lengths | None = None, keep: list[str] | None = None
 ) -> DataFrame:
     """Central differences with unit spacing, one-sided at the ends of the axis.
 
@@ -292,12 +324,12 @@ def gradients(
     return df.select(*keep, *slopes)
 
 
-def gradient(df: DataFrame, col: str, axis: str, out: str | None = None, lengths: dict[str, int] | None = None) -> DataFrame:
+def gradient(df: DataFrame, col: str, axis: str, out: str | None = None, lengths: Lengths | None = None) -> DataFrame:
     """One slope, see ``gradients``."""
     return gradients(df, {out or f"d{col}_d{axis}": (col, axis)}, lengths)
 
 
-def local_minima(df: DataFrame, col: str, out: str = "is_minimum", lengths: dict[str, int] | None = None) -> DataFrame:
+def local_minima(df: DataFrame, col: str, out: str = "is_minimum", lengths: Lengths | None = None) -> DataFrame:
     """Cells equal to the minimum of their 3 x 3 neighbourhood in a step.
 
     A zero cell among zeros only is background, not a trough. Missing neighbours do not

@@ -80,6 +80,10 @@ class Tile:
         have[self._flat[known]] = True
         return values.reshape(self.shape), have.reshape(self.shape)
 
+    def first(self, name: str) -> int:
+        """A number which is the same in the whole run."""
+        return self._columns[name][0].as_py()
+
     def around(self, field: np.ndarray, axis: str, before: int, after: int) -> np.ndarray:
         """The home positions of one axis with so many neighbours on either side, mirrored at the edges."""
         k = AXES.index(axis)
