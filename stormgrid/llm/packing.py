@@ -16,6 +16,9 @@ place is given by a hash of the row. A length outside 1..capacity raises an erro
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .textblock import slices
+from .textblock import kept_in_worker, slices
 
 # Counts per length and salt are broadcast up to this number of rows.
 MAX_BROADCAST_COUNTS = 1_000_000
@@ -221,39 +224,83 @@ class Places:
 # ------------------------------------------------------------------- Spark
 
 
+# The splitting which the quick way understands. It cuts a lower-cased text
+# into contractions, runs of letters, single digits and runs of other signs.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+# Below this code point composition, case and classes of characters do not depend on context
+# or on the version of the character tables.
+PLAIN = 0x250
+
+
+def _class_of(kinds: str) -> str:
+    """A character class of the plain characters of some categories, and of what they become in lower case."""
+    plain = {d for c in map(chr, range(PLAIN)) for d in (c, *c.lower())}
+    return "".join(re.escape(c) for c in sorted(plain) if unicodedata.category(c)[0] in kinds)
+
+
 class _Encoder:
-    """Ids of texts; white space ends a token, so each word is encoded once and remembered."""
+    """Ids of texts.
+
+    Plain texts are cut by the file's own pattern, and each different piece goes through the
+    file's merges once. Other texts (far scripts, special tokens, or a file with other
+    rules) are encoded word by word: white space ends a token.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[bytes, bytes] = {}
-
-    def _ids(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        normalizer, before = rules.get("normalizer") or {}, (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.plain = (
+            normalizer.get("normalizers") == NORMALIZERS
+            and len(before) == 2
+            and before[0].get("pattern") == {"Regex": SPLIT_PATTERN}
+            and (before[0].get("behavior"), before[0].get("invert")) == ("Removed", True)
+            and before[1].get("type") == "ByteLevel"
+            and not (before[1].get("add_prefix_space") or before[1].get("use_regex"))
+            and rules["model"]["type"] == "BPE"
+            and not rules["model"].get("dropout")
+        )
+        self.special = [t["content"] for t in rules.get("added_tokens") or []]
+        letters, digits = _class_of("L"), _class_of("N")
+        white = r"\x09-\x0D\x20\x85\xA0"
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{white}{letters}{digits}]+").findall
+        self.beyond = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]").search
+        # byte-level vocabularies show each byte as a printable character
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _remember(self, held: dict[str, bytes], part: str, ids: list[int]) -> bytes:
         found = np.array(ids, "<u4").tobytes()
-        if len(word) < 64:
-            if len(self.seen) >= MEMORY_ENTRIES:
-                self.seen.clear()
-            self.seen[word] = found
+        if len(part) < 64:
+            if len(held) >= MEMORY_ENTRIES:
+                held.clear()
+            held[part] = found
         return found
 
-    def encode(self, text: bytes) -> bytes:
-        seen = self.seen.get
-        parts = [seen(w) for w in text.split()]
-        if None in parts:
-            parts = [self._ids(w) if ids is None else ids for w, ids in zip(text.split(), parts)]
-        return b"".join(parts)
-
-
-_encoders: dict[str, _Encoder] = {}
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return self._remember(self.pieces, piece, [t.id for t in self.model.tokenize(shown)])
 
+    def _word(self, word: str) -> bytes:
+        return self._remember(self.words, word, self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-def encoder(path: str) -> _Encoder:
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+    def encode(self, text: str) -> bytes:
+        if self.plain and not self.beyond(text) and not any(t in text for t in self.special):
+            parts, held, ids_of = self.split(text.lower()), self.pieces, self._piece
+        else:
+            parts, held, ids_of = [w.decode() for w in text.encode().split()], self.words, self._word
+        ids = list(map(held.get, parts))
+        if None in ids:
+            ids = [ids_of(p) if found is None else found for p, found in zip(parts, ids)]
+        return b"".join(ids)
 
 
 def token_pieces(
@@ -264,14 +311,12 @@ def token_pieces(
     end, width = np.array([cfg.end_id], "<u4").tobytes(), 4 * cfg.capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from . import packing
-
-        encode = packing.encoder(tokenizer).encode
+        encode = kept_in_worker(("tokenizer", tokenizer), lambda: _Encoder(tokenizer)).encode
         for batch in batches:
             for part in slices(batch, 1):
                 owner, piece, ids = [], [], []
                 for i, value in enumerate(part.column("_text")):
-                    whole = encode((value.as_py() or "").encode()) + end
+                    whole = encode(value.as_py() or "") + end
                     for at in range(0, len(whole), width):
                         owner.append(i)
                         piece.append(at // width)

@@ -7,7 +7,10 @@ is never cut: a text longer than ``max_bytes`` is a block of its own.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,18 @@ class _Tables(dict):
 _powers = _Tables()
 
 
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object which a worker process makes once and keeps for later tasks.
+
+    Functions travel to the workers by value, and their globals with them, so what is to
+    outlive a task is held by a module of the worker's own.
+    """
+    held = sys.modules.setdefault("_stormgrid_worker", types.ModuleType("_stormgrid_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (a bijection, so it adds no collisions)."""
     h = h.astype(np.uint64, copy=True)

@@ -141,6 +141,17 @@ def test_warc_round_trip_and_index(spark):
     assert warc.read_records(warc.normalise(warc.write_archives(pages.where("false")))).count() == 0
 
 
+def test_pieces_have_the_ids_of_the_whole_tokenizer():
+    """Every plain character in several surroundings, far scripts, marks and special tokens."""
+    own = packing._Encoder(WORDS)
+    assert own.plain
+    texts = [x for c in map(chr, range(packing.PLAIN)) for x in (c, f"a{c}b", f"{c}{c}'s", f"1{c}2", f"É{c}'LL ")]
+    texts += ["ΑΣ ΟΔΟΣ", "İstanbul ıİ", "e\u0301 é", "<|endoftext|> a", "a<|startoftext|>", "漢字 12½ x\u3000y", "ﬁ Ǆ ǅ", "Kelvin", "a\u200bb", ""]
+    for text in texts:
+        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want, repr(text)
+
+
 def test_packing_is_whole_gapless_and_tight(docs):
     pieces = packing.token_pieces(docs, WORDS)
     packed = packing.pack(pieces)
