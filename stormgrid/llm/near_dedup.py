@@ -18,7 +18,11 @@ common shingles have in either text. The probability Jaccard similarity is at mo
 1 / (1/A + 1/B - 1), so A and B reach the threshold, and two texts near to each other share
 one of the shingles which come first in a common order, up to the weight they may differ
 in. Pairs which the weight before a common shingle, or a parity bitmap of the shingles,
-already excludes are dropped in the join; the others are verified like all pairs.
+already excludes are dropped in the join; the others are verified like all pairs. The rows
+of a shingle in n sets are dealt to n / 4096 tasks, and each row is copied as often; inside a
+task all of them are compared, so the comparisons (not the rows) of a group whose texts
+share nearly all shingles but stay below the threshold grow with its square. Verification
+compares 32-bit hashes of shingles.
 
 Defined results. Words are compared with A-Z lower-cased; a text with fewer words than a
 shingle is one shingle, a text without words (NULL too) is its own class. Rows with equal
@@ -42,11 +46,13 @@ from .textblock import Block, map_blocks, mix, pair
 
 # Keys of candidate documents are broadcast up to this count (8 bytes each).
 MAX_BROADCAST_IDS = 1_000_000
-# Counters for the order of shingles (bits of their hash), words of a parity bitmap, rows of
-# one shingle in a task, and what sums of weights may be off by.
+# Counters for the order of shingles (bits of their hash; one byte each goes to the tasks, so
+# 1 MB), words of a parity bitmap, rows of one shingle which a task compares with all
+# others of it, and what sums of weights may be off by.
 ORDER_BITS = 20
+MOST_COUNTED = 255
 PARITY_WORDS = 8
-PREFIX_ROWS = 64
+PREFIX_ROWS = 4096
 SLACK = 1e-9
 
 
@@ -220,7 +226,8 @@ def _set_of(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, by the leading bits of its hash; a fixed number of counters."""
+    """How many sets hold a shingle, by the leading bits of its hash; a fixed number of counters,
+    which stop at ``MOST_COUNTED``. A shingle counted once is in no other set."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << ORDER_BITS, np.int64)
@@ -228,10 +235,11 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
             flat = np.frombuffer(b"".join(batch.column("items").to_pylist()), np.uint32)
             total += np.bincount(flat >> np.uint32(32 - ORDER_BITS), minlength=len(total))
         slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
 
-    found = sets.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << ORDER_BITS, np.int64)
+    found = sets.select("items").mapInArrow(count, "slot int, n long").groupBy("slot")
+    found = found.agg(F.least(F.sum("n"), F.lit(MOST_COUNTED)).cast("short").alias("n")).toArrow()
+    total = np.zeros(1 << ORDER_BITS, np.uint8)
     total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return total
 
@@ -241,7 +249,7 @@ def prefixes(sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
 
     Two sets of which neither has a shingle in common with the other's first ones differ in
     more weight than the threshold allows. Any order common to all sets is right; the counts
-    only keep shingles of many sets out.
+    only keep shingles of many sets out. First ones which no other set holds are left out.
     """
     counts = shingle_counts(sets)
     rows = sets.select("id", "c", "items", "weights")
@@ -258,8 +266,10 @@ def prefixes(sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
                 before = (np.cumsum(w[order]) - w[order]) / w.sum()
                 n = int(np.searchsorted(before, 1 - cfg.similarity + SLACK, "right"))
                 parity = np.packbits(np.bincount(a % np.uint32(bits), minlength=bits) & 1 > 0).view(np.int64)
+                seen = np.flatnonzero(counts[a[order[:n]] >> np.uint32(32 - ORDER_BITS)] > 1)
+                n = len(seen)
                 at.append(np.full(n, i))
-                values = [a[order[:n]].astype(np.int64), before[:n], np.full(n, w.sum()), *(np.full(n, x) for x in parity)]
+                values = [a[order[seen]].astype(np.int64), before[seen], np.full(n, w.sum()), *(np.full(n, x) for x in parity)]
                 for column, value in zip(made, values):
                     column.append(value)
             if at:
