@@ -148,6 +148,12 @@ WITH r AS (SELECT epoch_us(ts) // 3600000000 * 3600 AS epoch, event_id % 3 AS ki
   CAST(user_id % 12 AS INTEGER) AS y, CAST(event_id % 7 AS INTEGER) AS x, value, day(ts) AS d, hour(ts) AS h FROM events)
 SELECT CASE WHEN kind = 0 THEN 'SLP' ELSE 'T' END AS variable, epoch, y, x, value FROM r
 WHERE d IN (3, 4, 9) AND h % 6 = 0 AND (kind = 0 OR (level = 850 AND y <= 9 AND x >= 1))"""
+ORACLE["nearest_prices"] = """
+WITH axis AS (SELECT DISTINCT CAST(p_retailprice AS DOUBLE) AS v FROM part),
+w AS (SELECT DISTINCT CAST(o_totalprice AS DOUBLE) / 100 AS want FROM orders),
+below AS (SELECT want, v AS low FROM w ASOF LEFT JOIN axis ON want >= v),
+above AS (SELECT want, v AS high FROM w ASOF LEFT JOIN axis ON want <= v)
+SELECT want, CASE WHEN high IS NULL OR want - low <= high - want THEN low ELSE high END AS nearest FROM below JOIN above USING (want)"""
 ORACLE["label_components_space_time"] = with_([CELLS, RAIN], labels_of("rain"))
 ORACLE["slice_components"] = with_(
     [CELLS, components("body", "SELECT run_id, t, y, x FROM cells WHERE bt <= 241", slice_only=True)],

@@ -53,7 +53,7 @@ from ..plans import kinds as K
 from ..plans.report import legacy_view, storm_accumulation, storm_series, storm_summary
 from ..plans.storms import classify_storms, cloud_objects, precipitation_objects, track_storms
 from ..session import stage
-from ..sources.fields import align_fields, crop, scan_variable, stack_variables, time_axis, with_step_index
+from ..sources.fields import align_fields, crop, nearest, scan_variable, stack_variables, time_axis, with_step_index
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,6 +230,14 @@ def reanalysis_scan(spark, sf):
     return found.select("variable", F.unix_timestamp("time").alias("epoch"), "y", "x", "value")
 
 
+@query
+def nearest_prices(spark, sf):
+    """Order totals per hundred beside the nearest retail price."""
+    axis = I.table(spark, sf, "part").selectExpr("CAST(p_retailprice AS DOUBLE) AS price")
+    wants = I.table(spark, sf, "orders").selectExpr("CAST(o_totalprice AS DOUBLE) / 100 AS want")
+    return nearest(axis, wants, "price")
+
+
 # ------------------------------------------------------------------------- components
 
 

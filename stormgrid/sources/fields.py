@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import brightness_temperature, null_if_negative
@@ -17,6 +17,8 @@ from ..session import stage
 
 # Wanted days up to this number become a predicate; more are joined.
 MAX_DATES = 4096
+# Ranges into which the values of a nearest join are cut.
+RANGES = 1024
 
 # Variable, archive stem, name inside the files, and whether it has levels.
 VARIABLES = [
@@ -84,22 +86,41 @@ def time_axis(df: DataFrame, dt_hours: int = 1) -> DataFrame:
 
 
 def nearest(df: DataFrame, ref: DataFrame, on: str) -> DataFrame:
-    """For each row of ``ref`` (``want``) the nearest value of ``on`` in ``df``; low on ties.
+    """For each different ``want`` of ``ref`` the nearest value of ``on`` in ``df``; low on ties.
 
-    ``df`` is an axis such as pressure levels, ``ref`` a short list of wanted values.
+    Both sides are cut into ranges of values. Within a range the values below and above a
+    wanted one are found in order; the ends of the ranges before and after it, one row per
+    range, stand in where its own range has none. Neither side comes to the driver. NULLs
+    are left out; without any value the answer is NULL.
     """
-    wants = [r["want"] for r in ref.select("want").distinct().collect()]
-    axis = df.select(on).distinct()
-    picks = F.array(
-        *[
-            F.struct(
-                F.lit(w).alias("want"),
-                F.min_by(on, F.struct(F.abs(F.col(on) - w), F.col(on))).alias("nearest"),
-            )
-            for w in wants
-        ]
+    axis = df.select(F.col(on).alias("_value")).where("_value IS NOT NULL").distinct()
+    wants = ref.select("want").where("want IS NOT NULL").distinct()
+    at = F.col("want").cast("double").alias("_at")
+    rows = axis.select(F.col("_value").cast("double").alias("_at"), "_value").unionByName(
+        wants.select(at, "want"), allowMissingColumns=True
     )
-    return axis.agg(F.explode(picks).alias("p")).select("p.*") if wants else axis.limit(0)
+    rows = stage(rows, "axes")
+    ends = rows.agg(F.min("_at").alias("low"), F.max("_at").alias("high")).first()
+    width = (ends.high - ends.low) / RANGES if ends.low is not None and ends.high > ends.low else 1.0
+    rows = rows.withColumn("_range", F.floor((F.col("_at") - F.lit(ends.low)) / width))
+    spans = rows.groupBy("_range").agg(F.min("_value").alias("_first"), F.max("_value").alias("_last"))
+    order = Window.orderBy("_range")  # one row per range
+    spans = spans.select(
+        "_range",
+        F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    within = Window.partitionBy("_range").orderBy("_at")
+    rows = rows.join(F.broadcast(spans), "_range")
+    rows = rows.withColumns(
+        {
+            "_low": F.max("_value").over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_high": F.min("_value").over(within.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    )
+    low, high = F.coalesce("_low", "_before"), F.coalesce("_high", "_after")
+    far = high.isNull() | (F.col("_at") - low <= high - F.col("_at"))
+    return rows.where("want IS NOT NULL").select("want", F.when(far, low).otherwise(high).alias("nearest"))
 
 
 def _nearest_index(axis: str, coord: str, value: float) -> Column:

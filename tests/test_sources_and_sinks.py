@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,20 @@ def test_only_files_of_wanted_days_are_read(spark, tmp_path, monkeypatch, most):
     assert nothing.count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 1024])
+def test_nearest_of_any_axis(spark, monkeypatch, ranges):
+    monkeypatch.setattr(S, "RANGES", ranges)
+    draw = random.Random(2)
+    axis = [draw.randint(-50, 50) / 2 for _ in range(25)]
+    wants = [draw.randint(-140, 140) / 4 for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in [*axis, *axis[:3], None]], "v double")
+    ref = spark.createDataFrame([(w,) for w in [*wants, None]], "want double")
+    got = {r.want: r.nearest for r in S.nearest(df, ref, "v").collect()}
+    assert got == {w: min(axis, key=lambda v: (abs(v - w), v)) for w in wants}
+    assert {r.nearest for r in S.nearest(df.limit(0), ref, "v").collect()} == {None}
+    assert S.nearest(df, ref.limit(0), "v").count() == 0
+
+
 def test_half_hours_to_sums(spark):
     rows = [(t, 0, 0, float(k)) for k, t in enumerate(hours(8, 30))]
     df = spark.createDataFrame(rows, "time timestamp, y int, x int, pr double")
