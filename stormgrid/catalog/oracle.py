@@ -358,13 +358,15 @@ ORACLE["median_brightness"] = with_(
       round(median(CASE WHEN value - 2 >= 0 THEN value - 2 END), 4) AS bt FROM gauge GROUP BY 1, 2, 3""",
 )
 ORACLE["regrid_midpoints"] = with_(
-    [DENSE],
-    """SELECT a.run_id, CAST(a.t AS INTEGER) AS t, CAST(a.y * 40 + a.x AS BIGINT) AS target_id,
-      round(CASE WHEN a.y % 2 = 1 THEN a.tk * 0.25 + b.tk * 0.5 + c.tk * 0.25
-                 ELSE d.tk * 0.25 + b.tk * 0.25 + c.tk * 0.5 END, 5) AS value
-      FROM dense a JOIN dense b ON b.run_id = a.run_id AND b.t = a.t AND b.y = a.y AND b.x = a.x + 1
-      JOIN dense c ON c.run_id = a.run_id AND c.t = a.t AND c.y = a.y + 1 AND c.x = a.x
-      JOIN dense d ON d.run_id = a.run_id AND d.t = a.t AND d.y = a.y + 1 AND d.x = a.x + 1""",
+    [
+        DENSE,
+        """row_pairs AS (SELECT run_id, t, y, x, tk, lead(tk) OVER (PARTITION BY run_id, t, y ORDER BY x) AS e FROM dense),
+squares AS (SELECT run_id, t, y, x, tk, e, lead(tk) OVER w AS n, lead(e) OVER w AS ne FROM row_pairs
+  WINDOW w AS (PARTITION BY run_id, t, x ORDER BY y))""",
+    ],
+    """SELECT run_id, t, CAST(y * 40 + x AS BIGINT) AS target_id,
+      round(CASE WHEN y % 2 = 1 THEN tk * 0.25 + e * 0.5 + n * 0.25 ELSE ne * 0.25 + e * 0.25 + n * 0.5 END, 5) AS value
+      FROM squares WHERE y < 39 AND x < 39""",
 )
 CENTRES = """centres AS (SELECT s_suppkey AS point_id, -100 + 0.04::DOUBLE * (4 + (s_suppkey * 104729) % 32) + 0.003::DOUBLE AS lon,
   20 + 0.04::DOUBLE * (4 + (s_suppkey * 15485863) % 32) + 0.003::DOUBLE AS lat FROM supplier)"""
