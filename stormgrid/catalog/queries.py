@@ -434,7 +434,7 @@ def uniform_smooth_fields(spark, sf):
     """Space-time boxcar with missing cells: one wide, one even and leaning."""
     df = I.dense_fields(spark, sf).withColumn("gap", F.when((F.col("x") + F.col("t")) % 11 > 0, F.col("tk")))
     filters = {"u_box": ("u", {"t": 5, "y": 4, "x": 3}), "gap_box": ("gap", {"y": 6, "x": 7})}
-    df = uniform_smooth(df.select(*CELL, "u", "gap"), filters, SIZE)
+    df = uniform_smooth(df.select(*CELL, "u", "gap"), filters, SIZE | {"t": I.NT})
     return rounded(df.select(*CELL, "u_box", "gap_box"), u_box=5, gap_box=5)
 
 
