@@ -52,6 +52,8 @@ class TrackConfig:
     rain: RainConfig = field(default_factory=RainConfig)
     cloud: CloudConfig = field(default_factory=CloudConfig)
     storm: StormConfig = field(default_factory=StormConfig)
+    # both fields must be known at the same cells; otherwise an error
+    aligned: bool = False
 
 
 def observed_profile() -> TrackConfig:
@@ -73,6 +75,8 @@ class MoistureConfig:
     river_min_length_km: float = 2000.0
     river_min_abs_lat: float = 20.0
     river_min_ratio: float = 2.0
+    # field on which transport objects are measured in ``identify_all``
+    ivt_statistic: str = "vap"
 
 
 @dataclass(frozen=True)
@@ -123,3 +127,5 @@ class AllObjectsConfig:
     front: FrontConfig = field(default_factory=FrontConfig)
     cyclone: CycloneConfig = field(default_factory=CycloneConfig)
     river_exclusion_lat: float = 25.0
+    # rivers exclude storm steps north of that latitude only, as the method does
+    river_exclusion_north: bool = True

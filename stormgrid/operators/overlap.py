@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import Labels
 
-# Side of the square blocks in which boxes meet cells.
-BLOCK = 16
+# Sides of the square blocks in which boxes meet cells.
+SIDES = (16, 64, 256)
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
@@ -82,44 +84,95 @@ def partner_area(
     )
 
 
-def _block_range(lo: str, hi: str) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(lo) / BLOCK), F.floor(F.col(hi) / BLOCK)))
+def _span(lo: Column, hi: Column) -> Column:
+    """The numbers ``lo`` to ``hi``; none if ``lo > hi``."""
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
 
-def bbox_min(
-    steps: DataFrame, bounds: DataFrame, cells: DataFrame, a_id: str, col: str
+def _touched(axis: str) -> tuple[Column, Column]:
+    """First and last smallest block which a box meets on an axis."""
+    return F.floor(F.col(f"{axis}_min") / SIDES[0]), F.floor(F.col(f"{axis}_max") / SIDES[0])
+
+
+def _inner(axis: str, side: int) -> tuple[Column, Column]:
+    """First and last block of a side which lies wholly in the box on an axis."""
+    return F.ceil(F.col(f"{axis}_min") / side), F.floor((F.col(f"{axis}_max") + 1) / side) - 1
+
+
+def box_blocks(boxes: DataFrame) -> DataFrame:
+    """Boxes cut into blocks ``_level, _by, _bx``, each cell of a box in exactly one of them.
+
+    Blocks of level 0 and more (sides 16, 64, 256) lie wholly inside the box and in no larger
+    block which does; those of level -1 have the smallest side and hold the rest of the box.
+    A level is a ring, as long as the rim of the box in blocks of its side, and only the
+    largest blocks fill an area.
+    """
+    levels = []
+    for level in range(-1, len(SIDES)):
+        side = SIDES[max(level, 0)]
+        y, x = (_touched("y"), _touched("x")) if level < 0 else (_inner("y", side), _inner("x", side))
+        columns = _span(*x)
+        if level < len(SIDES) - 1:
+            larger = SIDES[level + 1]
+            (y0, y1), (x0, x1) = _inner("y", larger), _inner("x", larger)
+            k = larger // side
+            # blocks of this side which the larger ones cover
+            hole = F.col("_by").between(y0 * k, y1 * k + k - 1) & (x0 <= x1)
+            columns = F.when(hole, F.concat(_span(x[0], x0 * k - 1), _span(x1 * k + k, x[1]))).otherwise(columns)
+        rows = boxes.withColumn("_by", F.explode(_span(*y))).withColumn("_bx", F.explode(columns))
+        levels.append(rows.withColumn("_level", F.lit(level)))
+    return reduce(DataFrame.unionAll, levels)
+
+
+def bbox_reduce(
+    steps: DataFrame, bounds: DataFrame, cells: DataFrame, a_id: str, cols: dict[str, tuple[str, str]]
 ) -> DataFrame:
-    """Minimum of ``col`` over the given cells inside each object's box, per step.
+    """Reduce the given cells inside each object's box, per step.
 
-    The box of an object covers its whole life. It is cut into blocks: blocks wholly
-    inside the box meet one pre-computed minimum, only its rim meets single cells.
+    ``cols`` maps a new column to ``(how, column)`` with ``min``, ``sum`` or ``count``. The box
+    of an object covers its whole life. Its blocks meet a pyramid of reduced blocks, only its
+    rim meets single cells. Steps without any cell in their box have no row.
     """
+    first = {"min": F.min, "sum": F.sum, "count": F.count}
+    again = {"min": F.min, "sum": F.sum, "count": F.sum}
     box = steps.select("run_id", a_id, "t").join(
         bounds.select("run_id", a_id, "y_min", "y_max", "x_min", "x_max"), ["run_id", a_id]
     )
-    blocks = box.withColumn("_by", _block_range("y_min", "y_max")).withColumn(
-        "_bx", _block_range("x_min", "x_max")
-    )
-    inside = (
-        (F.col("y_min") <= F.col("_by") * BLOCK)
-        & (F.col("y_max") >= F.col("_by") * BLOCK + BLOCK - 1)
-        & (F.col("x_min") <= F.col("_bx") * BLOCK)
-        & (F.col("x_max") >= F.col("_bx") * BLOCK + BLOCK - 1)
-    )
+    blocks = box_blocks(box)
+    smallest = [F.floor(F.col(c) / SIDES[0]).alias(f"_b{c}") for c in ("y", "x")]
+    used = sorted({c for _, c in cols.values()})
+    placed = cells.select("run_id", "t", *smallest, "y", "x", *[F.col(c).alias(f"_v_{c}") for c in used])
     at = ["run_id", "t", "_by", "_bx"]
-    placed = cells.select(
-        "run_id", "t", "y", "x", F.col(col).alias("_v"),
-        F.floor(F.col("y") / BLOCK).alias("_by"), F.floor(F.col("x") / BLOCK).alias("_bx"),
-    )
-    whole = blocks.where(inside).join(placed.groupBy(*at).agg(F.min("_v").alias("_v")), at)
-    rim = blocks.where(~inside).join(placed, at).where(
+    low = placed.groupBy(*at).agg(*[first[how](f"_v_{c}").alias(out) for out, (how, c) in cols.items()])
+    up = [
+        F.struct(F.lit(i).alias("_level"), *[F.floor(F.col(c) / (s // SIDES[0])).alias(c) for c in ("_by", "_bx")])
+        for i, s in enumerate(SIDES)
+    ]
+    pyramid = low.withColumn("_up", F.explode(F.array(*up))).drop("_by", "_bx").select("run_id", "t", "_up.*", *cols)
+    merged = [again[how](out).alias(out) for out, (how, _) in cols.items()]
+    pyramid = pyramid.groupBy("_level", *at).agg(*merged)
+    whole = blocks.where("_level >= 0").join(pyramid, ["_level", *at]).select("run_id", a_id, "t", *cols)
+    rim = blocks.where("_level < 0").join(placed, at).where(
         F.col("y").between(F.col("y_min"), F.col("y_max"))
         & F.col("x").between(F.col("x_min"), F.col("x_max"))
     )
-    out = ["run_id", a_id, "t", "_v"]
-    return (
-        whole.select(*out).unionAll(rim.select(*out)).groupBy("run_id", a_id, "t").agg(F.min("_v").alias(f"{col}_min"))
-    )
+    rim = rim.groupBy("run_id", a_id, "t").agg(*[first[how](f"_v_{c}").alias(out) for out, (how, c) in cols.items()])
+    return whole.unionByName(rim).groupBy("run_id", a_id, "t").agg(*merged)
+
+
+def bbox_min(
+    steps: DataFrame, bounds: DataFrame, cells: DataFrame, a_id: str, col: str
+) -> DataFrame:
+    """Minimum of ``col`` over the given cells inside each object's box, per step."""
+    return bbox_reduce(steps, bounds, cells, a_id, {f"{col}_min": ("min", col)})
+
+
+def bbox_mean(
+    steps: DataFrame, bounds: DataFrame, cells: DataFrame, a_id: str, col: str, out: str
+) -> DataFrame:
+    """Mean of ``col`` over the given cells inside each object's box, per step, NULLs left out."""
+    sums = bbox_reduce(steps, bounds, cells, a_id, {"_sum": ("sum", col), "_n": ("count", col)})
+    return sums.select("run_id", a_id, "t", (F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))).alias(out))
 
 
 def exclude_overlapping(

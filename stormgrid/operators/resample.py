@@ -24,6 +24,38 @@ def hourly_rain(half_hours: DataFrame, col: str = "pr", dt_hours: int = 1) -> Da
     return hourly if dt_hours == 1 else resample_time(hourly, col, f"{dt_hours} hours", "sum")
 
 
+def hour_range(df: DataFrame) -> tuple[int, int] | None:
+    """Epoch seconds of the first and last hour with a report; None without any."""
+    hour = F.unix_timestamp(F.date_trunc("hour", "time"))
+    first, last = df.agg(F.min(hour), F.max(hour)).first()
+    return None if first is None else (first, last)
+
+
+def rain_sums(
+    half_hours: DataFrame,
+    col: str = "pr",
+    dt_hours: int = 1,
+    hours: tuple[int, int] | None = None,
+    whole: bool = True,
+) -> DataFrame:
+    """Half-hour rates to hourly means, then sums over ``dt_hours``, counted from the first hour.
+
+    ``hours`` gives the first and last hour of the series in epoch seconds; without it they
+    are found in the data (one more read of the time column). A last window which the series
+    does not fill has no comparable sum and is left out, unless ``whole`` is false.
+    """
+    hourly = resample_time(half_hours, col, "1 hour", "avg")
+    hours = hours or hour_range(half_hours)
+    if dt_hours == 1 or hours is None:
+        return hourly
+    width = dt_hours * 3600
+    window = F.window("time", f"{width} seconds", startTime=f"{hours[0] % width} seconds")
+    sums = hourly.groupBy(window.alias("_w"), "y", "x").agg(F.sum(col).alias(col))
+    if whole:
+        sums = sums.where(F.unix_timestamp("_w.end") <= hours[1] + 3600)
+    return sums.select(F.col("_w.start").alias("time"), "y", "x", col)
+
+
 def median_substep(
     df: DataFrame, col: str, width: str = "1 hour", by: tuple[str, ...] = ("y", "x")
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.fields import brightness_temperature, null_if_negative
 from ..functions.geodesy import normalize_lon, roll_x
 from ..operators.joins import join_per_run
 from ..operators.regrid import regrid
-from ..operators.resample import hourly_rain, median_substep
+from ..operators.resample import hour_range, median_substep, rain_sums
 from ..schema import nan_to_null
 from ..session import stage
 
@@ -228,12 +228,20 @@ def scan_variable(
 
 
 def scan_halfhourly(
-    df: DataFrame, box: tuple[int, int, int, int] | None = None, dt_hours: int = 1
+    df: DataFrame,
+    box: tuple[int, int, int, int] | None = None,
+    dt_hours: int = 1,
+    hours: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Half-hour rain granules to sums per ``dt_hours``; ``df`` has ``time, y, x, pr``."""
+    """Half-hour rain granules to sums per ``dt_hours`` from the first step on.
+
+    ``df`` has ``time, y, x, pr``; ``hours`` are the ends of the whole series, see ``rain_sums``.
+    """
+    if hours is None and dt_hours > 1:
+        hours = hour_range(df)  # of the archive, not of the region
     if box is not None:
         df = df.where(F.col("y").between(*box[:2]) & F.col("x").between(*box[2:]))
-    return hourly_rain(df, "pr", dt_hours)
+    return rain_sums(df, "pr", dt_hours, hours)
 
 
 def granule_stamps(time: Column) -> Column:
