@@ -233,6 +233,15 @@ ORACLE["box_minimum"] = with_(
       JOIN cells c ON c.run_id = s.run_id AND c.t = s.t AND c.y BETWEEN y0 AND y1 AND c.x BETWEEN x0 AND x1
         AND c.bt <= 241 GROUP BY ALL""",
 )
+ORACLE["rain_box_temperature"] = with_(
+    [CELLS, components("core", "SELECT run_id, t, y, x FROM cells WHERE pr >= 20")],
+    """SELECT s.run_id, s.object_key, s.t, round(avg(c.bt), 6) AS rain_bt FROM (
+        SELECT DISTINCT run_id, object_key, t FROM core) s
+      JOIN (SELECT run_id, object_key, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM core GROUP BY ALL) b
+        USING (run_id, object_key)
+      JOIN cells c ON c.run_id = s.run_id AND c.t = s.t AND c.y BETWEEN y0 AND y1 AND c.x BETWEEN x0 AND x1
+        AND c.pr >= 5 GROUP BY ALL""",
+)
 ORACLE["classify_storm_steps"] = with_(
     STORMS,
     """SELECT run_id, pr_id, t, round(rain_km2, 3) AS rain_km2, round(cloud_km2, 3) AS cloud_km2,
@@ -249,6 +258,7 @@ STORM_STATS = [
     stats("rain", 5, ids="storm_ids", out="storm_stats"),
 ]
 ORACLE["storm_statistics"] = with_(STORM_STATS, f"SELECT {STATS_COLS} FROM storm_stats")
+ORACLE["identify_all_storm_statistics"] = ORACLE["storm_statistics"]
 ORACLE["storm_statistics_smoothed"] = with_(
     [
         CELLS.replace("cells AS MATERIALIZED", "all_cells AS MATERIALIZED"),
@@ -352,6 +362,16 @@ ORACLE["hourly_rain_gauges"] = with_(
       SELECT epoch // 3600 * 3600 AS epoch, y, x, avg(pr) AS pr FROM (
         SELECT epoch, y, x, avg(value) AS pr FROM gauge GROUP BY ALL) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
 )
+ORACLE["rain_sums_from_first_step"] = with_(
+    [
+        GAUGE,
+        """hourly AS (SELECT epoch // 3600 * 3600 AS h, y, x, avg(pr) AS pr FROM (
+          SELECT epoch, y, x, avg(value) AS pr FROM gauge GROUP BY ALL) GROUP BY 1, 2, 3)""",
+        "ends AS (SELECT min(h) AS lo, max(h) AS hi FROM hourly)",
+    ],
+    """SELECT lo + (h - lo) // 18000 * 18000 AS epoch, y, x, round(sum(pr), 4) AS pr FROM hourly, ends
+      WHERE lo + ((h - lo) // 18000 + 1) * 18000 <= hi + 3600 GROUP BY 1, 2, 3""",
+)
 ORACLE["median_brightness"] = with_(
     [GAUGE],
     """SELECT epoch // 3600 * 3600 AS epoch, y, x,

@@ -47,7 +47,7 @@ from ..operators.objects import (
 )
 from ..operators.overlap import bbox_min, overlap_pairs, partner_area
 from ..operators.regrid import grid_weights, regrid
-from ..operators.resample import hourly_rain, median_substep
+from ..operators.resample import hourly_rain, median_substep, rain_sums
 from ..operators.smoothing import gaussian_smooth, gradients, local_minima, uniform_smooth
 from ..plans import kinds as K
 from ..plans.report import legacy_view, storm_accumulation, storm_series, storm_summary
@@ -365,6 +365,15 @@ def box_minimum(spark, sf):
     return rounded(bbox_min(steps, object_bounds(steps), cold, "object_key", "bt"), bt_min=6)
 
 
+@query
+def rain_box_temperature(spark, sf):
+    """Strong rain stands in for cyclones: temperature on the rain cells in its box."""
+    cells = I.storm_cells(spark, sf)
+    cores = label_components(cells.where("pr >= 20").select(*CELL)).withColumnRenamed("object_key", "object_id")
+    df = K.rain_temperature(cores, cells.where("pr >= 5"))
+    return rounded(df.withColumnRenamed("object_id", "object_key"), rain_bt=6)
+
+
 @query
 def classify_storm_steps(spark, sf):
     v = _numbered(spark, sf).verdicts
@@ -480,6 +489,14 @@ def hourly_rain_gauges(spark, sf):
     return rounded(df.select(F.unix_timestamp("time").alias("epoch"), "y", "x", "pr"), pr=4)
 
 
+@query
+def rain_sums_from_first_step(spark, sf):
+    """Whole five-hour sums, counted from the first hour of the series."""
+    half = I.gauge_30min(spark, sf).groupBy("time", "y", "x").agg(F.avg("value").alias("pr"))
+    df = rain_sums(half, "pr", 5)
+    return rounded(df.select(F.unix_timestamp("time").alias("epoch"), "y", "x", "pr"), pr=4)
+
+
 @query
 def median_brightness(spark, sf):
     df = I.gauge_30min(spark, sf).withColumn("bt", null_if_negative(F.col("value") - 2))
@@ -648,6 +665,17 @@ def tropical_cyclone_tracks(spark, sf):
     return rounded(tracks, lat=5, lon=5)
 
 
+@query
+def identify_all_storm_statistics(spark, sf):
+    """Statistics of the storm cells which the whole chain finds where no river lies."""
+    cfg = AllObjectsConfig(
+        rain=RAIN, cloud=CLOUD, storm=StormConfig(), moisture=WET, pressure=LOWS, front=FRONTS, cyclone=TROPICAL,
+        river_exclusion_lat=90.0,
+    )
+    steps = K.identify_all(I.dense_fields(spark, sf), _grid(spark), cfg, nt=I.NT).storm_steps
+    return _stats(steps.withColumn("t", F.col("t").cast("long")))
+
+
 @query
 def identify_all_objects(spark, sf):
     """Object and step counts of every kind in one run of the whole chain."""

@@ -8,6 +8,7 @@ from stormgrid.catalog import inputs as I
 from stormgrid.config import TrackConfig
 from stormgrid.operators.grid import measure_grid
 from stormgrid.operators.regrid import grid_weights, regrid
+from stormgrid.operators.resample import rain_sums
 from stormgrid.plans.storms import track_storms
 from stormgrid.schema import nan_to_null, require, validate_inputs
 from stormgrid.session import stage_dir
@@ -126,6 +127,11 @@ def test_half_hours_to_sums(spark):
     df = spark.createDataFrame(rows, "time timestamp, y int, x int, pr double")
     assert [r.pr for r in S.scan_halfhourly(df).orderBy("time").collect()] == [0.5, 2.5, 4.5, 6.5]
     assert [r.pr for r in S.scan_halfhourly(df, None, 2).orderBy("time").collect()] == [3.0, 11.0]
+    late = df.where("pr >= 2")  # the series starts at one o'clock, its third hour fills no window
+    assert [(r.time.hour, r.pr) for r in S.scan_halfhourly(late, None, 2).orderBy("time").collect()] == [(1, 7.0)]
+    kept = rain_sums(late, "pr", 2, whole=False).orderBy("time").collect()
+    assert [(r.time.hour, r.pr) for r in kept] == [(1, 7.0), (3, 6.5)]
+    assert S.scan_halfhourly(df.limit(0), None, 2).count() == 0
     stamp = df.where("pr = 1").select(S.granule_stamps(F.col("time")).alias("s")).first().s
     assert stamp == "20160701-S003000-E005959"
 
