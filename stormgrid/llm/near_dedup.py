@@ -404,16 +404,33 @@ def near_duplicates(
     return joined.select("id", F.when(F.col("id").isNotNull(), F.coalesce("_class", "id")).alias("class_id"))
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: NearDedupConfig = NearDedupConfig()
 ) -> DataFrame:
-    """The documents with one of each class, all columns kept; rows with a NULL key stay."""
-    found = stage(near_duplicates(docs, key, text, cfg).where("id IS NOT NULL"), "classes")
-    again = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    gone = found.where("id <> class_id").select(F.col("id").alias("_gone")).distinct()
+    """The documents with one of each class, all columns kept.
+
+    The row with the smallest key stays. If keys repeat or are NULL, a row is named by its key
+    and a digest of its text, NULL keys last, so unlike texts of one key are judged on their
+    own. Of rows with equal key and text one stays, whichever.
+    """
+    keys = docs.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    unique = keys.where("n > 1 OR k IS NULL").isEmpty()
+    own, lost = _fresh(docs, "_row"), _fresh(docs, "_gone")
+    name = F.col(key)
+    if not unique:
+        digest = F.unhex(F.md5(F.col(text).cast("binary")))
+        name = F.struct(name.isNull().alias("none"), name.alias("key"), digest.alias("digest"))
+    nodes = docs.select(name.alias("id"), F.col(text).alias("text"))
+    found = stage(near_duplicates(nodes, "id", "text", cfg), "classes")
+    gone = found.where("id <> class_id").select(F.col("id").alias(lost)).distinct()
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    if again:  # no key occurs twice
-        return kept
-    return kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    rows = docs.withColumn(own, name)
+    kept = rows.join(gone, F.col(own) == F.col(lost), "left_anti")
+    return (kept if unique else kept.dropDuplicates([own])).drop(own)
