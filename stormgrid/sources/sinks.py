@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import Grid
 from ..operators.regrid import grid_weights
 from ..operators.smoothing import densify
+from ..session import stage
 
 # Units and long names of output columns.
 META = {
@@ -64,6 +67,92 @@ def write_objects(cells: DataFrame, path: str, mode: str = "errorifexists") -> N
     )
 
 
+CHUNK = ["run_id", "day", "ty", "tx"]
+MANIFEST = "run_id long, day long, ty long, tx long, n long, steps int, side int"
+# Bounds of batches which the driver holds; one step of the order of chunks.
+MAX_BATCHES = 1000
+
+
+@dataclass(frozen=True)
+class Chunks:
+    """Steps and cells per side of a chunk, and cells per batch of chunks (one Spark job)."""
+
+    steps: int = 24
+    side: int = 512
+    batch_cells: int = 20_000_000_000
+
+    def place(self, cells: DataFrame) -> DataFrame:
+        cut = {"day": ("t", self.steps), "ty": ("y", self.side), "tx": ("x", self.side)}
+        return cells.withColumns({c: F.floor(F.col(axis) / size).cast("long") for c, (axis, size) in cut.items()})
+
+
+def write_chunks(cells: DataFrame, path: str, chunks: Chunks = Chunks()) -> int:
+    """Labelled cells in chunks of (run, day, tile); a second call goes on where a first one ended.
+
+    A chunk is one task and one file of at most ``steps * side * side`` cells. Batches of chunks
+    are written one after the other; a chunk is listed under ``path/done`` after its batch was
+    written. Listed chunks with the same number of cells are left out the next time, others
+    replace what a broken run left. Results with other numbers of the same cells belong under
+    a new path. Batches are ranges of runs and days, so a table laid out by run is read about
+    once. Returns the number of chunks written.
+    """
+    spark = cells.sparkSession
+    done = f"{path}/done"
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(done)
+    listed = spark.read.schema(MANIFEST).parquet(done)
+    if not listed.where((F.col("steps") != chunks.steps) | (F.col("side") != chunks.side)).isEmpty():
+        raise ValueError(f"{path} holds chunks of another size")
+    placed = chunks.place(cells)
+    counted = placed.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("n"))
+    # the list grows while it is read, so the open chunks are a table of their own
+    open_ = stage(counted.join(listed.select(*CHUNK, "n"), [*CHUNK, "n"], "left_anti"), "open-chunks")
+    total = open_.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("cells")).first()
+    if not total.chunks:
+        return 0
+    for inside in _batches(open_, min(MAX_BATCHES, math.ceil(total.cells / chunks.batch_cells))):
+        wanted = open_.where(inside)
+        if not wanted.isEmpty():
+            _write_batch(placed.where(inside).join(wanted.select(*CHUNK), CHUNK, "left_semi"), path)
+            size = [F.lit(chunks.steps).alias("steps"), F.lit(chunks.side).alias("side")]
+            wanted.select(*CHUNK, "n", *size).coalesce(1).write.mode("append").parquet(done)
+    return total.chunks
+
+
+def _batches(open_: DataFrame, n: int) -> list[Column]:
+    """Conditions on run and day which cut the open chunks into at most ``n`` parts of like size."""
+    at = F.col("run_id") * (1 << 24) + F.col("day")
+    cuts = open_.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    cuts = sorted(set(cuts))
+    out = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = F.lit(True)
+        if low is not None:  # the bare column lets a scan skip other runs
+            inside = inside & (F.col("run_id") >= low >> 24) & (at > low)
+        if high is not None:
+            inside = inside & (F.col("run_id") <= high >> 24) & (at <= high)
+        out.append(inside)
+    return out
+
+
+def _write_batch(cells: DataFrame, path: str) -> None:
+    (
+        cells.repartition(*CHUNK)
+        .sortWithinPartitions(*CHUNK, "t", "y", "x")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .partitionBy(*CHUNK)
+        .parquet(f"{path}/cells")
+    )
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of all finished chunks."""
+    done = spark.read.schema(MANIFEST).parquet(f"{path}/done").select(*CHUNK).distinct()
+    cells = spark.read.parquet(f"{path}/cells")
+    return cells.withColumns({c: F.col(c).cast("long") for c in CHUNK}).join(done, CHUNK, "left_semi").drop("day", "ty", "tx")
+
+
 def dense_view(cells: DataFrame, grid: Grid) -> DataFrame:
     """Labelled cells with a row for each grid point and step; background has id 0."""
     ids = {c: 0 for c in cells.columns if c.endswith("_id") and c != "run_id"}
@@ -71,8 +160,9 @@ def dense_view(cells: DataFrame, grid: Grid) -> DataFrame:
 
 
 def write_stats(steps: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Object statistics by kind and run."""
-    steps.write.mode(mode).partitionBy("kind", "run_id").option("compression", "zstd").parquet(path)
+    """Object statistics by kind and run, one file for each month of hourly steps."""
+    spread = steps.repartition("kind", "run_id", F.floor(F.col("t") / 720))
+    spread.write.mode(mode).partitionBy("kind", "run_id").option("compression", "zstd").parquet(path)
 
 
 def write_tracks(tracks: DataFrame, path: str, mode: str = "errorifexists") -> None:

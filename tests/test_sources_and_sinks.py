@@ -195,6 +195,41 @@ def test_sinks_round_trip(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/tracks").count() == 1
 
 
+def test_a_broken_write_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
+    rows = [(r, t, y, x, 100 * r + t) for r in (0, 3) for t in (0, 1, 5, 9) for y in (0, 7) for x in (0, 1, 9)]
+    cells = spark.createDataFrame(rows, "run_id long, t int, y int, x int, storm_id int")
+    chunks, path, write = W.Chunks(steps=4, side=8, batch_cells=10), f"{tmp_path}/cells", W._write_batch
+    calls = []
+
+    def broken(batch, to):
+        write(batch, to)
+        calls.append(1)
+        if len(calls) == 2:  # written, but not yet listed
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(W, "_write_batch", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        W.write_chunks(cells, path, chunks)
+    monkeypatch.setattr(W, "_write_batch", write)
+    listed = spark.read.parquet(f"{path}/done").count()
+    n = W.read_chunks(spark, path).count()
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "cells/cells").rglob("*.parquet")}
+    assert 0 < listed < 12 and 0 < n < len(rows) and len(files) > listed
+    assert W.write_chunks(cells, path, chunks) == 12 - listed
+    got = W.read_chunks(spark, path).select(*cells.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+    now = {f: f.stat().st_mtime_ns for f in (tmp_path / "cells/cells").rglob("*.parquet")}
+    assert len(now) == 12  # one file a chunk
+    assert sum(now.get(f) == t for f, t in files.items()) == listed
+    assert W.write_chunks(cells, path, chunks) == 0
+    # a run which grew: only its new chunk is written
+    more = cells.unionByName(spark.createDataFrame([(3, 30, 0, 0, 1)], cells.schema))
+    assert W.write_chunks(more, path, chunks) == 1 and W.read_chunks(spark, path).count() == len(rows) + 1
+    with pytest.raises(ValueError, match="another size"):
+        W.write_chunks(cells, path)
+    assert W.write_chunks(cells.limit(0), f"{tmp_path}/none") == 0
+
+
 def test_weights_are_kept(spark, tmp_path):
     mesh = spark.createDataFrame([(y, x, 1.0 * y, 1.0 * x) for y in range(2) for x in range(2)], "y int, x int, lat double, lon double")
     one = spark.createDataFrame([(1, 0.5, 0.25)], "target_id long, lat double, lon double")
