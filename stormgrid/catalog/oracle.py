@@ -372,6 +372,7 @@ ORACLE["rain_sums_from_first_step"] = with_(
     """SELECT lo + (h - lo) // 18000 * 18000 AS epoch, y, x, round(sum(pr), 4) AS pr FROM hourly, ends
       WHERE lo + ((h - lo) // 18000 + 1) * 18000 <= hi + 3600 GROUP BY 1, 2, 3""",
 )
+ORACLE["chunked_cells"] = with_([CELLS], "SELECT run_id, t, y, x, round(pr, 6) AS pr FROM cells")
 ORACLE["median_brightness"] = with_(
     [GAUGE],
     """SELECT epoch // 3600 * 3600 AS epoch, y, x,

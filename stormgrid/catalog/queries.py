@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +53,9 @@ from ..operators.smoothing import gaussian_smooth, gradients, local_minima, unif
 from ..plans import kinds as K
 from ..plans.report import legacy_view, storm_accumulation, storm_series, storm_summary
 from ..plans.storms import classify_storms, cloud_objects, precipitation_objects, track_storms
-from ..session import stage
+from ..session import stage, stage_dir
 from ..sources.fields import align_fields, crop, nearest, scan_variable, stack_variables, time_axis, with_step_index
+from ..sources.sinks import Chunks, read_chunks, write_chunks
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,6 +499,16 @@ def rain_sums_from_first_step(spark, sf):
     return rounded(df.select(F.unix_timestamp("time").alias("epoch"), "y", "x", "pr"), pr=4)
 
 
+@query
+def chunked_cells(spark, sf):
+    """Storm cells written in chunks and batches, a broken part finished, and read back."""
+    cells = stage(I.storm_cells(spark, sf), "cells")
+    path, chunks = f"{stage_dir(spark)}/stormgrid/chunks-{uuid.uuid4().hex}", Chunks(steps=12, side=16, batch_cells=1 << 20)
+    write_chunks(cells.where("t < 30"), path, chunks)
+    write_chunks(cells, path, chunks)
+    return rounded(read_chunks(spark, path).select("run_id", *[F.col(c).cast("long").alias(c) for c in "tyx"], "pr"), pr=6)
+
+
 @query
 def median_brightness(spark, sf):
     df = I.gauge_30min(spark, sf).withColumn("bt", null_if_negative(F.col("value") - 2))
