@@ -2,9 +2,13 @@
 
 import re
 
+from pyspark.sql import functions as F
 from stormgrid.catalog import inputs as I
-from stormgrid.catalog.queries import CELL, SIZE
+from stormgrid.catalog.queries import CELL, SIZE, _low_cells
+from stormgrid.operators.breakup import part_overlaps
+from stormgrid.operators.overlap import bbox_min
 from stormgrid.operators.smoothing import gaussian_smooth
+from stormgrid.session import stage
 
 
 def plan(df) -> str:
@@ -26,3 +30,46 @@ def test_a_filter_shuffles_no_cell_of_runs_which_lie_together(spark, sf_dir):
     df = gaussian_smooth(I.dense_fields(spark, sf_dir).select(*CELL, "pr"), "pr", {"y": 1.0, "x": 1.0}, SIZE)
     text = plan(df)
     assert exchanges(text[: text.rindex("Generate")]) == [], text
+
+
+def test_boxes_and_cells_meet_without_a_broadcast_of_either(spark, sf_dir):
+    """The cells are opened from a few suppliers, so their size is guessed a thousand times too small."""
+    cells = I.storm_cells(spark, sf_dir)
+    steps = cells.where("pr >= 20").selectExpr("run_id", "0 AS object_key", "t", "y AS y_min", "y AS y_max", "x AS x_min", "x AS x_max")
+    text = plan(bbox_min(steps, steps, cells.where("bt <= 241"), "object_key", "bt"))
+    assert len(re.findall("SortMergeJoin", text)) >= 2, text
+    assert not re.search(r"BroadcastHashJoin \[(_level|run_id)#\w+, (run_id|t)#\w+, (t|_by)#", text), text
+
+
+def test_staged_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    same = spark.range(1 << 20).selectExpr("id % 2 AS k", "1 AS v")
+    a, b = stage(same, "a"), stage(same, "b")
+    assert "SortMergeJoin" in plan(a.join(b, "k"))
+    assert "BroadcastHashJoin" in plan(a.join(F.broadcast(b), "k"))
+
+
+def test_parts_of_one_object_overlap_from_step_to_step_only(spark):
+    """``t, x, part``: part 1 goes on as 2 and 3; equal cells of another object or after a gap do not count."""
+    rows = [(0, 0, 1, 7), (0, 1, 1, 7), (0, 2, 1, 7), (1, 0, 2, 7), (1, 1, 2, 7), (1, 2, 3, 7), (1, 3, 3, 7), (3, 0, 4, 7), (2, 0, 5, 8)]
+    cells = spark.createDataFrame([(9, t, 0, x, p, o) for t, x, p, o in rows], "run_id long, t long, y long, x long, part long, object_key long")
+    found = {(r.a, r.b): r.n_shared for r in part_overlaps(cells).collect()}
+    assert found == {(1, 2): 2, (1, 3): 1}
+    assert len(re.findall("Exchange hashpartitioning", plan(part_overlaps(cells)))) == 2
+
+
+def test_front_diagnostic_moves_only_what_it_needs(spark, sf_dir):
+    from stormgrid.operators.grid import measure_grid
+    from stormgrid.plans.kinds import frontal_diagnostic
+
+    cells, grid = I.dense_fields(spark, sf_dir), measure_grid(I.base_grid(spark), regular=True)
+    slim, whole = frontal_diagnostic(cells, grid, keep=[]), frontal_diagnostic(cells, grid)
+    assert set(slim.columns) == {*CELL, "front", "t_gradient"} and set(cells.columns) < set(whole.columns)
+    assert slim.exceptAll(whole.select(slim.columns)).count() == 0
+
+
+def test_cells_of_lows_carry_their_fields(spark, sf_dir):
+    """No join of the rain cells with all cells is needed to know their pressure."""
+    cells = _low_cells(spark, sf_dir)
+    assert {"slp_hpa", "tk", "object_id"} <= set(cells.columns)
+    want = I.dense_fields(spark, sf_dir).where("pr >= 5").selectExpr("run_id", "t", "y", "x", "slp / 100 AS slp_hpa", "tk")
+    assert cells.select(want.columns).exceptAll(want).count() == 0 and cells.count() == want.count()
