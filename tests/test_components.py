@@ -5,6 +5,7 @@ from brute import flood_fill, key
 from pyspark.sql import functions as F
 
 from stormgrid.operators import components as C
+from stormgrid.operators import joins
 from stormgrid.operators.components import Mask, Tile, label_components, label_masks
 
 SMALL = Tile(2, 3, 3)
@@ -100,3 +101,50 @@ def test_long_chain_needs_few_rounds(spark, monkeypatch):
     edges = spark.range(1, 3000).selectExpr("0L AS run_id", "id AS u", "id - 1 AS v")
     stars = C.reduce_to_stars(edges, ["run_id"])
     assert stars.where("v = 0").count() == 2999
+
+
+def test_chains_end_at_their_first_node(spark):
+    """A long chain, a branching one and one link alone, as the star rounds would reduce them."""
+    rng = random.Random(5)
+    links = [(1, n, n - 1) for n in range(1, 40)] + [(2, n, rng.randrange(n)) for n in range(1, 60)] + [(3, 9, 4)]
+    df = spark.createDataFrame(links, "run_id long, u long, v long")
+    got = {(r.run_id, r.u): r.v for r in C.chase_links(df, ["run_id"]).collect()}
+    assert got == {(run, u): {1: 0, 2: 0, 3: 4}[run] for run, u, _ in links}
+    assert C.chase_links(df.where("run_id > 3"), ["run_id"]) is None
+
+
+def test_tiles_on_a_small_grid_hold_more_steps(spark):
+    """One tile holds 48 steps of 40 x 40 cells, so no object needs a link."""
+    tile = Tile().on(40, 40)
+    assert tile.t >= 48 and tile.t * tile.y * tile.x <= 32 * 64 * 64
+    assert Tile().on(5000, 64) == Tile()
+    cells = [(1, t, 5, 7) for t in range(48)]
+    df = frame(spark, cells)
+    assert label_masks(df, {"m": F.lit(True)}, tile=tile).links is None
+    assert labelled(label_components(df, tile=tile)) == labelled(label_components(df))
+
+
+def test_pieces_are_numbered_through_their_objects(spark):
+    cells = [(1, t, y, 3) for t in range(9) for y in range(7)] + [(2, 0, 0, 0), (2, 8, 8, 8)]
+    labels = label_masks(frame(spark, cells), {"m": F.lit(True)}, tile=SMALL)
+    keys = labels.keyed_cells().select("run_id", F.col("m_key").alias("object_key")).distinct()
+    ids = keys.withColumn("object_id", F.col("object_key") * 10 + F.col("run_id"))
+    want = {(r.run_id, r.m_part): r.m_key * 10 + r.run_id for r in labels.keyed_cells().collect()}
+    found = C.numbered_pieces(labels, "m", ids).collect()
+    got = {(r.run_id, r.m_part): r.object_id for r in found}
+    assert len(found) == len(got) and want.items() <= got.items()
+
+
+def test_only_heavy_keys_are_copied(spark, monkeypatch):
+    rows = [(1, i) for i in range(50)] + [(2, 1), (3, 2)]
+    big = spark.createDataFrame(rows, "k long, part long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k long, name string")
+    want = sorted([(1, i, "a") for i in range(50)] + [(2, 1, "b")])
+    light = joins.salted_join(big, table, ["k"], "part")
+    assert "Generate" not in light._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(joins, "MAX_ROWS_PER_KEY", 10)
+    heavy = joins.salted_join(big, table, ["k"], "part")
+    for df in (light, heavy):
+        assert sorted(map(tuple, df.select("k", "part", "name").collect())) == want
+    left = joins.salted_join(big, table, ["k"], "part", "left").collect()
+    assert sorted((r.k, r.part) for r in left) == sorted(rows)
