@@ -110,14 +110,10 @@ def nearest(df: DataFrame, ref: DataFrame, on: str) -> DataFrame:
         F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
     )
-    within = Window.partitionBy("_range").orderBy("_at")
+    # frames which grow row by row, from below and from above: one which shrinks is summed anew for every row
+    below, above = (Window.partitionBy("_range").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("_at", F.desc("_at")))
     rows = rows.join(F.broadcast(spans), "_range")
-    rows = rows.withColumns(
-        {
-            "_low": F.max("_value").over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_high": F.min("_value").over(within.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    )
+    rows = rows.withColumns({"_low": F.max("_value").over(below), "_high": F.min("_value").over(above)})
     low, high = F.coalesce("_low", "_before"), F.coalesce("_high", "_after")
     far = high.isNull() | (F.col("_at") - low <= high - F.col("_at"))
     return rows.where("want IS NOT NULL").select("want", F.when(far, low).otherwise(high).alias("nearest"))

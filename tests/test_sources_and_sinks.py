@@ -254,3 +254,14 @@ def test_stream_gives_the_batch_means(spark, sf_dir, tmp_path):
 def test_stage_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert stage_dir(spark) == (named or stage_dir(spark)).rstrip("/")
+
+
+def test_nearest_sums_no_shrinking_frames(spark):
+    """A frame from a row to the end of its range is summed anew for every row: quadratic in a dense range."""
+    axis = spark.range(50).selectExpr("CAST(id AS DOUBLE) AS price")
+    found = S.nearest(axis, spark.range(3000).selectExpr("id / 70 AS want"), "price")
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rangeframe, unboundedpreceding$(), currentrow$()" in plan
+    assert "rangeframe, currentrow$(), unboundedfollowing$()" not in plan
+    for r in found.collect():
+        assert abs(r.nearest - r.want) == min(abs(p - r.want) for p in range(50))
