@@ -104,3 +104,11 @@ def test_statistics_skip_missing_values(spark):
     assert got[1].speed_km == pytest.approx(grid.spacing_m / 1000)
     assert validate_steps(object_stats(steps, grid)) == 0
     assert object_stats(steps, grid, min_steps=3).count() == 0
+
+
+def test_speed_reads_the_steps_once(spark):
+    rows = [(1, 1, t, float(t * t), 0.0, 1000.0) for t in (0, 1, 2, 4)]
+    steps = spark.createDataFrame(rows, "run_id long, object_id long, t int, cy double, cx double, spacing_m double")
+    found = object_speed(steps)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.t: r.speed_km for r in found.collect()} == {0: None, 1: 1.0, 2: 3.0, 4: None}
