@@ -59,20 +59,21 @@ def encode_blocks(docs: DataFrame, key: str, text: str, held: str, cfg: LmConfig
     schema = _ENCODED.format(key=dict(rows.dtypes)["_key"])
 
     def flush(number: int, keys: list, held: list, hashes: list, lengths: list) -> pa.RecordBatch:
-        tokens = np.concatenate(hashes)
-        vocab, local = np.unique(np.append(tokens, BEGIN), return_inverse=True)
+        n_tokens = sum(map(len, hashes))
+        vocab, local = distinct(np.concatenate([*hashes, [BEGIN]]))
+        hashes.clear()
         flags = np.concatenate(held)
         owners = pa.concat_arrays(keys)
         return pa.RecordBatch.from_pydict(
             {
                 "block": pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()),
                 "n_docs": pa.array([len(flags)], pa.int32()),
-                "n_tokens": pa.array([len(tokens)], pa.int64()),
+                "n_tokens": pa.array([n_tokens], pa.int64()),
                 "keys": pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
                 "held": [flags.tobytes()],
                 "lengths": [np.concatenate(lengths).astype(np.int64).tobytes()],
                 "vocab": [vocab.tobytes()],
-                "tokens": [local[:-1].astype(np.uint32).tobytes()],
+                "tokens": [local[:-1].tobytes()],
             }
         )
 
@@ -81,7 +82,8 @@ def encode_blocks(docs: DataFrame, key: str, text: str, held: str, cfg: LmConfig
         for batch in batches:
             for part, block in blocks(batch, "_text"):
                 words = block.words()
-                parts[0].append(part.column("_key"))
+                # copied: a slice would hold the texts of its whole batch until the block is full
+                parts[0].append(part.column("_key").take(pa.array(range(part.num_rows), pa.int32())))
                 parts[1].append(part.column("_held").to_numpy(zero_copy_only=False).astype(bool))
                 parts[2].append(np.insert(words.hashes(lower=True), words.bounds[1:], END))
                 parts[3].append(words.counts + 1)
@@ -110,27 +112,41 @@ class Encoded:
 
     def __init__(self, row: dict, bits: int):
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = np.frombuffer(row["tokens"], np.uint32)
         self.held = np.frombuffer(row["held"], bool)
         self.lengths = np.frombuffer(row["lengths"], np.int64)
         ends = np.cumsum(self.lengths)
         self.starts = ends - self.lengths
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = np.searchsorted(self.vocab, BEGIN)
-        codes, place = np.unique(before * len(self.vocab) + self.tokens, return_inverse=True)
+        codes = np.empty(len(self.tokens), np.int64)
+        codes[1:] = self.tokens[:-1]
+        codes[self.starts] = np.searchsorted(self.vocab, BEGIN)
+        codes *= len(self.vocab)
+        codes += self.tokens
+        codes, place = distinct(codes)
         first, second = codes // len(self.vocab), codes % len(self.vocab)
         key = shard_key(pair(self.vocab[first], self.vocab[second]), bits)
         order = np.argsort(key)
         self.keys, self.first, self.second = key[order], first[order], second[order]
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         self.pair_of_token = rank[place]
         self.learned = np.repeat(~self.held, self.lengths)
         self.count = np.bincount(self.pair_of_token[self.learned], minlength=len(order))
 
     def shards(self, bits: int) -> list[tuple[int, int, int]]:
-        return runs(self.keys, bits)
+        return runs(shard_of(self.keys, bits))
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each value's place among them; ``np.unique`` takes twice the memory."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    values = values[new]
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return values, place
 
 
 def shard_key(h: np.ndarray, bits: int) -> np.ndarray:
@@ -141,35 +157,57 @@ def shard_key(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    if not bits:
-        return np.zeros(len(keys), np.int64)
-    return (keys >> np.uint64(48 if bits <= 16 else 64 - bits)).astype(np.int64)
+    """Shard of keys made by ``shard_key``."""
+    return (keys >> np.uint64(48)).astype(np.int64) if 0 < bits <= 16 else word_shard_of(keys, bits)
+
 
+def word_shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Shard of whole hashes: their top ``bits``."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
-def runs(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(shard, from, to) of sorted keys."""
-    shard = shard_of(keys, bits)
+
+def runs(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of sorted shards."""
     cut = np.flatnonzero(np.diff(shard)) + 1
-    edges = [0, *cut.tolist(), len(keys)]
+    edges = [0, *cut.tolist(), len(shard)]
     return [(int(shard[a]), a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
 
 
-def pack48(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray((keys & LOW48).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """The low 48 bits of a shard's sorted keys: their steps, in as few bytes as the widest needs."""
+    steps = np.diff(keys & LOW48, prepend=np.uint64(0))
+    width = (int(steps.max()).bit_length() + 7) // 8 or 1
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
 
+def unpack_sorted(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    out = np.zeros((len(steps), 8), np.uint8)
+    out[:, :width] = steps
+    return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
 
-def unpack48(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.reshape(-1).view(np.uint64)
+
+def pack_small(values: np.ndarray) -> bytes:
+    """Numbers below 2^32, most of them small: a byte each, larger ones once more at the end."""
+    small = np.minimum(values, 255).astype(np.uint8)
+    data = small.tobytes() + values[small == 255].astype(np.uint32).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack_small(data: bytes, n: int) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    plain = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    out = np.frombuffer(plain, np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(plain[n:], np.uint32)
+    return out
 
 
 # ------------------------------------------------------------------- counts of pairs
 
 
 _PAIRS = "shard long, block long, keys binary, counts binary"
-_ANSWERS = "block long, shard long, place binary, total binary, owned binary"
+_ANSWERS = "block long, shard long, more binary, owned binary"
 
 
 def pair_lists(encoded: DataFrame, bits: int) -> DataFrame:
@@ -178,7 +216,7 @@ def pair_lists(encoded: DataFrame, bits: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             e = Encoded(row, bits)
-            out = [(s, row["block"], pack48(e.keys[a:b]), e.count[a:b].astype(np.uint32).tobytes()) for s, a, b in e.shards(bits)]
+            out = [(s, row["block"], pack_sorted(e.keys[a:b]), pack_small(e.count[a:b])) for s, a, b in e.shards(bits)]
             yield _batch(_PAIRS, out)
 
     return encoded.drop("keys", "n_docs", "n_tokens").mapInArrow(work, _PAIRS)
@@ -194,10 +232,10 @@ def merge_pairs(lists: DataFrame) -> DataFrame:
     def merge(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
         shard = group.column("shard")[0].as_py()
-        keys = [unpack48(x.as_py()) for x in group.column("keys")]
-        counts = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")]
+        keys = [unpack_sorted(x.as_py()) for x in group.column("keys")]
         sizes = [len(k) for k in keys]
-        all_keys, all_counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        all_keys = np.concatenate(keys)
+        all_counts = np.concatenate([unpack_small(x.as_py(), n) for x, n in zip(group.column("counts"), sizes)])
         order = np.argsort(all_keys, kind="stable")  # equal keys stay in block order
         new = np.ones(len(order), bool)
         new[1:] = np.diff(all_keys[order].view(np.int64)) != 0
@@ -216,9 +254,9 @@ def merge_pairs(lists: DataFrame) -> DataFrame:
         out, at = [], 0
         for block, n in zip(group.column("block").to_pylist(), sizes):
             t, o, c = total[at : at + n], owned[at : at + n], all_counts[at : at + n]
-            odd = np.flatnonzero((t != c) | (~o & (c > 0)))
-            if len(odd):
-                out.append((block, shard, odd.astype(np.uint32).tobytes(), t[odd].astype(np.uint32).tobytes(), np.packbits(o[odd]).tobytes()))
+            if (t != c).any():
+                shared = (t != c) & (c > 0)  # learned from here and elsewhere: one block owns it
+                out.append((block, shard, pack_small(t - c), np.packbits(o[shared]).tobytes()))
             at += n
         return pa.Table.from_batches([_batch(_ANSWERS, out)])
 
@@ -228,11 +266,13 @@ def merge_pairs(lists: DataFrame) -> DataFrame:
 def _answered(row: dict, e: Encoded, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Corpus count of each pair of the block, and whether the block owns it."""
     total, owned = e.count.copy(), e.count > 0
-    start = {s: a for s, a, _ in e.shards(bits)}
+    part = {s: (a, b) for s, a, b in e.shards(bits)}
     for one in row["answers"] or ():
-        place = start[one["shard"]] + np.frombuffer(one["place"], np.uint32).astype(np.int64)
-        total[place] = np.frombuffer(one["total"], np.uint32)
-        owned[place] = np.unpackbits(np.frombuffer(one["owned"], np.uint8), count=len(place)).astype(bool)
+        a, b = part[one["shard"]]
+        more = unpack_small(one["more"], b - a)
+        total[a:b] += more
+        shared = a + np.flatnonzero((more > 0) & (e.count[a:b] > 0))
+        owned[shared] = np.unpackbits(np.frombuffer(one["owned"], np.uint8), count=len(shared)).astype(bool)
     return total, owned
 
 
@@ -271,8 +311,8 @@ def word_lists(blocks_: DataFrame, bits: int, word_bits: int) -> DataFrame:
             stats[4] = np.bincount(e.second[owned], minlength=v)
             per = [int((owned & (total == k)).sum()) for k in (1, 2, 3, 4)]
             out = []
-            for i, (s, a, b) in enumerate(runs(e.vocab, word_bits) if word_bits else [(0, 0, v)]):
-                out.append((s, row["block"], e.vocab[a:b].tobytes(), stats[:, a:b].astype(np.uint32).tobytes(),
+            for i, (s, a, b) in enumerate(runs(word_shard_of(e.vocab, word_bits))):
+                out.append((s, row["block"], e.vocab[a:b].tobytes(), pack_small(stats[:, a:b].ravel()),
                             np.array(per if i == 0 else [0] * 4, np.int64).tobytes()))
             yield _batch(_WORDS, out)
 
@@ -286,7 +326,7 @@ def merge_words(lists: DataFrame) -> DataFrame:
         group = group.sort_by("block")
         shard = group.column("shard")[0].as_py()
         hashes = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("hashes")]
-        stats = [np.frombuffer(x.as_py(), np.uint32).reshape(len(STATS), -1) for x in group.column("stats")]
+        stats = [unpack_small(x.as_py(), len(STATS) * len(h)).reshape(len(STATS), -1) for x, h in zip(group.column("stats"), hashes)]
         words, number = np.unique(np.concatenate(hashes), return_inverse=True)
         flat = np.concatenate(stats, axis=1)
         total = np.stack([np.bincount(number, weights=row, minlength=len(words)) for row in flat]).astype(np.int64)
@@ -299,7 +339,7 @@ def merge_words(lists: DataFrame) -> DataFrame:
         at = 0
         for block, own in zip(group.column("block").to_pylist(), hashes):
             own_stats = total[:, number[at : at + len(own)]]
-            out.append((block, shard, own_stats.astype(np.uint32).tobytes(), b""))
+            out.append((block, shard, pack_small(own_stats.ravel()), b""))
             at += len(own)
         return pa.Table.from_batches([_batch(_WORD_ANSWERS, out)])
 
@@ -360,10 +400,10 @@ def block_scores(row: dict, bits: int, word_bits: int, g: Globals) -> dict:
     e = Encoded(row, bits)
     total, _ = _answered(row, e, bits)
     stats = np.zeros((len(STATS), len(e.vocab)), np.int64)
-    start = {s: (a, b) for s, a, b in (runs(e.vocab, word_bits) if word_bits else [(0, 0, len(e.vocab))])}
+    part = {s: (a, b) for s, a, b in runs(word_shard_of(e.vocab, word_bits))}
     for one in row["words"]:
-        a, b = start[one["shard"]]
-        stats[:, a:b] = np.frombuffer(one["stats"], np.uint32).reshape(len(STATS), -1)
+        a, b = part[one["shard"]]
+        stats[:, a:b] = unpack_small(one["stats"], len(STATS) * (b - a)).reshape(len(STATS), -1)
     model = mapped(hashes=e.vocab, stats=stats, pairs=e.keys, counts=total)
     c, before = model["stats"][0], model["stats"][4]
     low = (discounted(before, g.word_discounts) / g.kinds if g.kinds else 0.0) + g.floor / (g.words + 1)
@@ -371,17 +411,15 @@ def block_scores(row: dict, bits: int, word_bits: int, g: Globals) -> dict:
     seen = np.maximum(c, 1)
     back = np.where(c > 0, (d[0] * model["stats"][1] + d[1] * model["stats"][2] + d[2] * model["stats"][3]) / seen, 1.0)
     p = discounted(model["counts"], d) / seen[e.first] + back[e.first] * low[e.second]
-    log_p = np.log10(p)[e.pair_of_token]
     own = np.where(model["hashes"] == BEGIN, 0, c)
-    base = np.log10((own + 0.1) / (g.tokens + 0.1 * (g.words + 1)))[e.tokens]
-    known = (own > 0)[e.tokens].astype(np.int64)
+    base = np.log10((own + 0.1) / (g.tokens + 0.1 * (g.words + 1)))
     return {
         "held_out": e.held,
         "n_tokens": e.lengths,
-        "n_known": np.add.reduceat(known, e.starts),
+        "n_known": np.add.reduceat((own > 0)[e.tokens], e.starts, dtype=np.int64),
         "train_tokens": np.full(len(e.held), g.tokens),
-        "base_score": np.add.reduceat(base, e.starts),
-        "score": np.add.reduceat(log_p, e.starts),
+        "base_score": np.add.reduceat(base[e.tokens], e.starts),
+        "score": np.add.reduceat(np.log10(p)[e.pair_of_token], e.starts),
     }
 
 

@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_filters import base_rules, classes
@@ -112,3 +113,20 @@ def test_pipeline_stages_keep_what_they_should(spark, sf_dir):
         assert r.offset == at.get(r.sequence_id, 0)
         at[r.sequence_id] = r.offset + r.length
     assert max(at.values()) <= 4096
+
+
+@pytest.mark.parametrize("bits", [0, 1, 5, 16, 17, 20])
+def test_words_go_to_as_many_shards_as_wanted(bits):
+    """All 65 536 values of the top 16 bits were shards of their own, for up to 16 bits."""
+    hashes = np.sort(np.random.default_rng(bits).integers(0, 1 << 64, 100_000, np.uint64, endpoint=False))
+    runs = kneser_ney.runs(kneser_ney.word_shard_of(hashes, bits))
+    assert len(runs) <= 1 << bits and [a for _, a, _ in runs] == [0, *(b for _, _, b in runs[:-1])] and runs[-1][2] == 100_000
+    keys = np.sort(kneser_ney.shard_key(hashes, bits))
+    for _, a, b in kneser_ney.runs(kneser_ney.shard_of(keys, bits))[:50]:
+        assert (kneser_ney.unpack_sorted(kneser_ney.pack_sorted(keys[a:b])) == keys[a:b] & kneser_ney.LOW48).all()
+
+
+@pytest.mark.parametrize("values", [[], [0], [254, 255, 256, 0, 1, (1 << 32) - 1], [255] * 3])
+def test_small_numbers_come_back(values):
+    values = np.array(values, np.int64)
+    assert (kneser_ney.unpack_small(kneser_ney.pack_small(values), len(values)) == values).all()
