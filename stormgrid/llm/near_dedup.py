@@ -47,9 +47,10 @@ from .textblock import Block, map_blocks, mix, pair
 # Keys of candidate documents are broadcast up to this count (8 bytes each).
 MAX_BROADCAST_IDS = 1_000_000
 # Counters for the order of shingles (bits of their hash; one byte each goes to the tasks, so
-# 1 MB), words of a parity bitmap, rows of one shingle which a task compares with all
-# others of it, and what sums of weights may be off by.
+# 1 MB), the rows in which a task sends them, words of a parity bitmap, rows of one shingle which
+# a task compares with all others of it, and what sums of weights may be off by.
 ORDER_BITS = 20
+COUNTER_PARTS = 16
 MOST_COUNTED = 255
 PARITY_WORDS = 8
 PREFIX_ROWS = 4096
@@ -225,23 +226,41 @@ def _set_of(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray
     return a, np.ones(len(a)) if weights is None else np.frombuffer(weights, np.uint32).astype(np.float64)
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, by the leading bits of its hash; a fixed number of counters,
-    which stop at ``MOST_COUNTED``. A shingle counted once is in no other set."""
+def counters(sets: DataFrame) -> DataFrame:
+    """Per task, how many of its sets hold a shingle of each hash class: ``COUNTER_PARTS`` rows at most,
+    however many shingles the sets have. Sums which stop at a number may be stopped before they are added."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
             flat = np.frombuffer(b"".join(batch.column("items").to_pylist()), np.uint32)
             total += np.bincount(flat >> np.uint32(32 - ORDER_BITS), minlength=len(total))
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
+        parts = np.minimum(total, MOST_COUNTED).astype(np.uint8).reshape(COUNTER_PARTS, -1)
+        seen = np.flatnonzero(parts.any(axis=1))
+        made = pa.array([parts[i].tobytes() for i in seen], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), made], ["part", "n"])
 
-    found = sets.select("items").mapInArrow(count, "slot int, n long").groupBy("slot")
-    found = found.agg(F.least(F.sum("n"), F.lit(MOST_COUNTED)).cast("short").alias("n")).toArrow()
-    total = np.zeros(1 << ORDER_BITS, np.uint8)
-    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return total
+    return sets.select("items").mapInArrow(count, "part int, n binary")
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle, by the leading bits of its hash; a fixed number of counters,
+    which stop at ``MOST_COUNTED``. A shingle counted once is in no other set."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n in zip(batch.column("part").to_pylist(), batch.column("n")):
+                own = totals.get(part, np.uint16(0)) + np.frombuffer(n.as_py(), np.uint8).astype(np.uint16)
+                totals[part] = np.minimum(own, np.uint16(MOST_COUNTED))
+        made = pa.array([x.astype(np.uint8).tobytes() for x in totals.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), made], ["part", "n"])
+
+    found = counters(sets).repartition(COUNTER_PARTS, "part").mapInArrow(merge, "part int, n binary")
+    total = np.zeros((COUNTER_PARTS, (1 << ORDER_BITS) // COUNTER_PARTS), np.uint8)
+    for row in found.collect():
+        total[row["part"]] = np.frombuffer(row["n"], np.uint8)
+    return total.ravel()
 
 
 def prefixes(sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from stormgrid.llm import near_dedup, quality_rules
@@ -148,3 +149,14 @@ def test_prefix_pairs_hold_every_near_pair(spark):
     near = set(near_pairs({i: shingle_weights(t) for i, t, *_ in rows}))
     assert len(near) > 10 and near <= found
     assert len(found) < len(rows) ** 2 / 4
+
+
+def test_shingle_counters_are_few_rows_whatever_the_sets_hold(spark):
+    """Each distinct shingle of a task was a row of its own."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 32, 300, np.uint32)
+    items = [np.unique(np.append(common, rng.integers(0, 1 << 32, 2000, np.uint32))) for _ in range(320)]
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(items)], "id long, items binary").repartition(5)
+    assert near_dedup.counters(sets).count() <= 5 * near_dedup.COUNTER_PARTS
+    want = np.bincount(np.concatenate(items) >> np.uint32(32 - near_dedup.ORDER_BITS), minlength=1 << near_dedup.ORDER_BITS)
+    assert (near_dedup.shingle_counts(sets) == np.minimum(want, near_dedup.MOST_COUNTED)).all() and want.max() > 300
