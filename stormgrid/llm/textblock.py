@@ -1,7 +1,7 @@
 """Whole texts of a record batch as flat NumPy arrays.
 
-Spark deals the documents out; inside a task a batch is cut into blocks of a few
-megabytes, and the words of all texts of a block are found and hashed together. A text
+Spark deals the documents out; inside a task a batch is cut into blocks of half a
+megabyte, and the words of all texts of a block are found and hashed together. A text
 is never cut: a text longer than ``max_bytes`` is a block of its own.
 """
 
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BLOCK_BYTES = 2 << 20
+# A worker holds about 100 bytes for each of these at its peak.
+BLOCK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from stormgrid.llm import near_dedup, quality_rules
+from stormgrid.llm import near_dedup, quality_rules, textblock
 
 SCHEMA = "doc_id long, text string, id string, bucket string"
 
@@ -160,3 +162,19 @@ def test_shingle_counters_are_few_rows_whatever_the_sets_hold(spark):
     assert near_dedup.counters(sets).count() <= 5 * near_dedup.COUNTER_PARTS
     want = np.bincount(np.concatenate(items) >> np.uint32(32 - near_dedup.ORDER_BITS), minlength=1 << near_dedup.ORDER_BITS)
     assert (near_dedup.shingle_counts(sets) == np.minimum(want, near_dedup.MOST_COUNTED)).all() and want.max() > 300
+
+
+def test_a_worker_holds_little_beside_its_batch():
+    """Blocks of 2 MB took more than 64 MB for tables of powers alone, in each worker."""
+    text = "the quick brown fox, jumps over the lazy dog; " * 40
+    batch = pa.RecordBatch.from_pydict({"_text": [text] * 3000})
+    textblock._powers.clear()
+    tracemalloc.start()
+    try:
+        for _, block in textblock.blocks(batch, "_text"):
+            quality_rules.base_statistics(block)
+            quality_rules.gram_buckets(block, 1 << 16)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
