@@ -93,8 +93,8 @@ def write_chunks(cells: DataFrame, path: str, chunks: Chunks = Chunks()) -> int:
     are written one after the other; a chunk is listed under ``path/done`` after its batch was
     written. Listed chunks with the same number of cells are left out the next time, others
     replace what a broken run left. Results with other numbers of the same cells belong under
-    a new path. Batches are ranges of runs and days, so a table laid out by run is read about
-    once. Returns the number of chunks written.
+    a new path. Batches are ranges of runs and days; if there are several, the cells of open chunks
+    are laid out in that order first, so that they are read about once. Returns the number of chunks written.
     """
     spark = cells.sparkSession
     done = f"{path}/done"
@@ -109,10 +109,14 @@ def write_chunks(cells: DataFrame, path: str, chunks: Chunks = Chunks()) -> int:
     total = open_.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("cells")).first()
     if not total.chunks:
         return 0
-    for inside in _batches(open_, min(MAX_BATCHES, math.ceil(total.cells / chunks.batch_cells))):
+    batches = _batches(open_, min(MAX_BATCHES, math.ceil(total.cells / chunks.batch_cells)))
+    todo = placed.join(open_.select(*CHUNK), CHUNK, "left_semi")
+    if len(batches) > 1:
+        todo = _laid_out(todo, len(batches))
+    for inside in batches:
         wanted = open_.where(inside)
         if not wanted.isEmpty():
-            _write_batch(placed.where(inside).join(wanted.select(*CHUNK), CHUNK, "left_semi"), path)
+            _write_batch(todo.where(inside), path)
             size = [F.lit(chunks.steps).alias("steps"), F.lit(chunks.side).alias("side")]
             wanted.select(*CHUNK, "n", *size).coalesce(1).write.mode("append").parquet(done)
     return total.chunks
@@ -134,6 +138,12 @@ def _batches(open_: DataFrame, n: int) -> list[Column]:
     return out
 
 
+def _laid_out(cells: DataFrame, batches: int) -> DataFrame:
+    """Cells as a table ordered by run and day: a batch skips the files and row groups of others."""
+    tasks = max(batches, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stage(cells.repartitionByRange(tasks, "run_id", "day").sortWithinPartitions("run_id", "day"), "laid-out")
+
+
 def _write_batch(cells: DataFrame, path: str) -> None:
     (
         cells.repartition(*CHUNK)

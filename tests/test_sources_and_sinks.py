@@ -265,3 +265,20 @@ def test_nearest_sums_no_shrinking_frames(spark):
     assert "rangeframe, currentrow$(), unboundedfollowing$()" not in plan
     for r in found.collect():
         assert abs(r.nearest - r.want) == min(abs(p - r.want) for p in range(50))
+
+
+def test_a_batch_reads_its_own_cells(spark, tmp_path, monkeypatch):
+    """Each batch read the whole table of cells, which is not laid out by run."""
+    cells = spark.range(4000).selectExpr("id % 40 AS run_id", "CAST(id % 48 AS INT) AS t", "0 AS y", "0 AS x", "id AS storm_id")
+    read, write = [], W._write_batch
+
+    def watched(batch, to):
+        read.append("laid-out" in " ".join(batch.inputFiles()))
+        write(batch, to)
+
+    monkeypatch.setattr(W, "_write_batch", watched)
+    chunks = W.Chunks(steps=48, side=8, batch_cells=1000)
+    assert W.write_chunks(cells, f"{tmp_path}/cells", chunks) == 40
+    assert len(read) > 1 and all(read)
+    got = W.read_chunks(spark, f"{tmp_path}/cells").select(*cells.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, cells.collect()))
