@@ -4,10 +4,12 @@ import re
 
 from pyspark.sql import functions as F
 from stormgrid.catalog import inputs as I
+from stormgrid.catalog import queries as Q
 from stormgrid.catalog.queries import CELL, SIZE
 from stormgrid.operators.breakup import part_overlaps
 from stormgrid.operators.overlap import bbox_min
 from stormgrid.operators.smoothing import gaussian_smooth
+from stormgrid.plans.kinds import pressure_anomaly
 from stormgrid.session import stage
 
 
@@ -65,3 +67,17 @@ def test_front_diagnostic_moves_only_what_it_needs(spark, sf_dir):
     slim, whole = frontal_diagnostic(cells, grid, keep=[]), frontal_diagnostic(cells, grid)
     assert set(slim.columns) == {*CELL, "front", "t_gradient"} and set(cells.columns) < set(whole.columns)
     assert slim.exceptAll(whole.select(slim.columns)).count() == 0
+
+
+def test_pressure_moves_only_what_is_used(spark, sf_dir):
+    """The anomaly is taken inside the tile, and the dense fields of cyclones are not written."""
+    g, df = Q._lows(spark, sf_dir)
+    text = plan(df)
+    filtered = next(line for line in text.splitlines() if "FlatMapGroupsInArrow" in line)
+    assert "_fine" not in filtered and "_coarse" not in filtered and not re.search(r"\bslp#", filtered), filtered
+    assert "Generate" in text  # the cells are opened in the same job
+    lows = I.dense_fields(spark, sf_dir).where("(x + y + t) % 5 > 0 AND t < 12").select(*CELL, "slp", "u")
+    whole, some = (pressure_anomaly(lows, g, Q.LOWS, nt=I.NT, keep=k) for k in (None, []))
+    assert whole.columns == [*CELL, "slp", "u", "slp_hpa", "anomaly"] and some.columns == [*CELL, "anomaly"]
+    both = whole.select(*CELL, "anomaly").exceptAll(some).unionAll(some.exceptAll(whole.select(*CELL, "anomaly")))
+    assert both.count() == 0 and some.where("anomaly IS NOT NULL").count() == lows.count() > 0
