@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from stormgrid.catalog import inputs as I
 from stormgrid.catalog import queries as Q
 from stormgrid.catalog.queries import CELL, SIZE
+from stormgrid.config import CloudConfig, RainConfig
 from stormgrid.operators.breakup import part_overlaps
+from stormgrid.operators.grid import measure_grid
 from stormgrid.operators.overlap import bbox_min
 from stormgrid.operators.smoothing import gaussian_smooth
 from stormgrid.plans.kinds import pressure_anomaly
+from stormgrid.plans.storms import smooth_fields
 from stormgrid.session import stage
 
 
@@ -81,3 +84,18 @@ def test_pressure_moves_only_what_is_used(spark, sf_dir):
     assert whole.columns == [*CELL, "slp", "u", "slp_hpa", "anomaly"] and some.columns == [*CELL, "anomaly"]
     both = whole.select(*CELL, "anomaly").exceptAll(some).unionAll(some.exceptAll(whole.select(*CELL, "anomaly")))
     assert both.count() == 0 and some.where("anomaly IS NOT NULL").count() == lows.count() > 0
+
+
+def test_rain_and_temperature_are_smoothed_in_one_pass(spark, sf_dir):
+    """Rows which only smoothed rain reaches have no temperature, as after one filter at a time."""
+    cells = I.storm_cells(spark, sf_dir).where("pr >= 1.5")
+    cells = cells.withColumn("bt", F.when((F.col("x") + F.col("y")) % 13 > 0, F.col("bt")))
+    grid = measure_grid(I.base_grid(spark))
+    got = smooth_fields(cells, grid, RainConfig(smooth_sigma=1.0), CloudConfig(smooth_sigma=2.0))
+    text = plan(got)
+    assert text.count("FlatMapGroupsInArrow") == 1 and exchanges(text[: text.rindex("Generate")]) == [], text
+    want = gaussian_smooth(cells, "bt", {"y": 2.0, "x": 2.0}, grid, missing="skip")
+    want = gaussian_smooth(want, "pr", {"y": 1.0, "x": 1.0}, grid, missing=0.0)
+    want = want.withColumn("pr", F.coalesce("pr", F.lit(0.0))).select(got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.where("bt_smooth IS NULL AND pr_smooth > 0").count() > 0
