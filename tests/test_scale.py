@@ -9,7 +9,7 @@ from stormgrid.catalog.queries import CELL, SIZE
 from stormgrid.config import CloudConfig, RainConfig
 from stormgrid.operators.breakup import part_overlaps
 from stormgrid.operators.grid import measure_grid
-from stormgrid.operators.overlap import bbox_min
+from stormgrid.operators.overlap import bbox_min, overlap_pairs
 from stormgrid.operators.smoothing import gaussian_smooth
 from stormgrid.plans.kinds import pressure_anomaly
 from stormgrid.plans.storms import smooth_fields
@@ -99,3 +99,13 @@ def test_rain_and_temperature_are_smoothed_in_one_pass(spark, sf_dir):
     want = want.withColumn("pr", F.coalesce("pr", F.lit(0.0))).select(got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert got.where("bt_smooth IS NULL AND pr_smooth > 0").count() > 0
+
+
+def test_overlaps_in_one_table_join_no_cells(spark):
+    rows = [(0, 0, 0, 1, 5), (0, 0, 1, 1, 5), (0, 1, 1, 1, 6), (1, 0, 0, 2, None), (1, 0, 1, None, 6)]
+    cells = spark.createDataFrame([(3, t, y, x, a, b) for t, y, x, a, b in rows], "run_id long, t int, y int, x int, pr_id long, bt_id long")
+    found = overlap_pairs(cells, cells, "pr_id", "bt_id")
+    assert "Join" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(3, 1, 5, 2), (3, 1, 6, 1)]
+    apart = overlap_pairs(cells, cells.select("*"), "pr_id", "bt_id")
+    assert sorted(map(tuple, apart.collect())) == [(3, 1, 5, 2), (3, 1, 6, 1)]
