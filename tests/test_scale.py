@@ -10,7 +10,7 @@ from stormgrid.config import CloudConfig, RainConfig
 from stormgrid.operators.breakup import part_overlaps
 from stormgrid.operators.grid import measure_grid
 from stormgrid.operators.overlap import bbox_min, overlap_pairs
-from stormgrid.operators.smoothing import gaussian_smooth
+from stormgrid.operators.smoothing import gaussian_smooth, local_minima
 from stormgrid.plans.kinds import pressure_anomaly
 from stormgrid.plans.storms import smooth_fields
 from stormgrid.session import stage
@@ -86,6 +86,12 @@ def test_pressure_moves_only_what_is_used(spark, sf_dir):
     assert both.count() == 0 and some.where("anomaly IS NOT NULL").count() == lows.count() > 0
 
 
+def test_minima_move_only_what_is_used(spark, sf_dir):
+    df = local_minima(I.dense_fields(spark, sf_dir).select(*CELL, "bt", "slp"), "bt", lengths=SIZE, keep=[])
+    filtered = next(line for line in plan(df).splitlines() if "FlatMapGroupsInArrow" in line)
+    assert df.columns == [*CELL, "is_minimum"] and not re.search(r"\bslp#", filtered), filtered
+
+
 def test_rain_and_temperature_are_smoothed_in_one_pass(spark, sf_dir):
     """Rows which only smoothed rain reaches have no temperature, as after one filter at a time."""
     cells = I.storm_cells(spark, sf_dir).where("pr >= 1.5")
