@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import brightness_temperature, null_if_negative
 from ..functions.geodesy import normalize_lon, roll_x
-from ..operators.joins import join_per_run
+from ..operators.joins import MAX_BROADCAST_ROWS, join_cells, join_per_run
 from ..operators.regrid import regrid
 from ..operators.resample import hour_range, median_substep, rain_sums
 from ..schema import nan_to_null
@@ -58,8 +58,8 @@ def load_cells(rain: DataFrame, olr: DataFrame, dt_hours: float = 1.0) -> DataFr
 
 
 def align_fields(*fields: DataFrame) -> DataFrame:
-    """Join fields with different variables on their cells."""
-    return reduce(lambda a, b: a.join(b, ["run_id", "t", "y", "x"]), fields)
+    """Join fields with different variables on their cells; no field is collected for a broadcast."""
+    return reduce(lambda a, b: join_cells(a, b, ["run_id", "t", "y", "x"]), fields)
 
 
 def stack_variables(fields: dict[str, DataFrame]) -> DataFrame:

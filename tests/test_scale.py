@@ -53,6 +53,12 @@ def test_staged_tables_are_not_broadcast_by_the_size_of_their_files(spark):
     assert "BroadcastHashJoin" in plan(a.join(F.broadcast(b), "k"))
 
 
+def test_fields_are_aligned_without_a_broadcast_of_either(spark, sf_dir):
+    """Both fields are opened from a few suppliers; one of them was collected in the driver."""
+    text = plan(Q.aligned_fields(spark, sf_dir))
+    assert "SortMergeJoin" in text and "BroadcastExchange" not in text, text
+
+
 def test_parts_of_one_object_overlap_from_step_to_step_only(spark):
     """``t, x, part``: part 1 goes on as 2 and 3; equal cells of another object or after a gap do not count."""
     rows = [(0, 0, 1, 7), (0, 1, 1, 7), (0, 2, 1, 7), (1, 0, 2, 7), (1, 1, 2, 7), (1, 2, 3, 7), (1, 3, 3, 7), (3, 0, 4, 7), (2, 0, 5, 8)]
