@@ -187,12 +187,15 @@ def prune_dates(src: DataFrame, times: DataFrame) -> tuple[DataFrame, Column | N
         return src, None
     parts = [f(F.col("time")).alias(n) for f, n in ((F.year, "year"), (F.month, "month"), (F.dayofmonth, "day"))]
     dates = stage(times.where("time IS NOT NULL").select(*parts).distinct(), "dates")
-    if dates.count() <= MAX_DATES:
+    days = dates.count()
+    if days <= MAX_DATES:
         found = sorted((r.year, r.month, r.day) for r in dates.collect())
         return src.where(on_dates(found)), on_dates(found[:1])
     first = dates.agg(F.min(F.struct("year", "month", "day")).alias("d")).first().d
-    # any comparison on the small side makes Spark prune by it
-    return src.join(dates.where("year > 0"), ["year", "month", "day"], "left_semi"), on_dates([tuple(first)])
+    # any comparison on the small side makes Spark prune by it, if that side is broadcast
+    wanted = dates.where("year > 0")
+    wanted = F.broadcast(wanted) if days <= MAX_BROADCAST_ROWS else wanted
+    return src.join(wanted, ["year", "month", "day"], "left_semi"), on_dates([tuple(first)])
 
 
 def scan_variable(
