@@ -9,9 +9,10 @@ from stormgrid.catalog.queries import CELL, SIZE
 from stormgrid.config import CloudConfig, RainConfig
 from stormgrid.operators.breakup import part_overlaps
 from stormgrid.operators.grid import measure_grid
+from stormgrid.operators.joins import cells_at
 from stormgrid.operators.overlap import bbox_min, overlap_pairs
 from stormgrid.operators.smoothing import gaussian_smooth, local_minima
-from stormgrid.plans.kinds import pressure_anomaly
+from stormgrid.plans.kinds import neighbourhood_mean, pressure_anomaly
 from stormgrid.plans.storms import smooth_fields
 from stormgrid.session import stage
 
@@ -59,6 +60,25 @@ def test_fields_are_aligned_without_a_broadcast_of_either(spark, sf_dir):
     assert "SortMergeJoin" in text and "BroadcastExchange" not in text, text
 
 
+def test_cells_around_centres_are_found_where_they_lie(spark, sf_dir):
+    """A join with the centres shuffled the whole dense fields, three times in a query."""
+    fields, tasks = I.dense_fields(spark, sf_dir).select(*CELL, "tk"), I.run_tasks(spark, sf_dir)
+    rows = [(0, 5, 3, 0, 0), (0, 6, 3, 39, 39), (0, 7, 3, 39, 38), (0, 8, 99, 1, 1)]
+    points = spark.createDataFrame(rows, "run_id long, object_id long, t long, y long, x long")
+    text = plan(cells_at(fields, points, CELL, tasks))
+    assert exchanges(text[: text.rindex("Generate")]) == [] and "Union" in text, text
+    assert {(r.t, r.y, r.x) for r in cells_at(fields, points, CELL, tasks).collect()} == {(3, 0, 0), (3, 39, 39), (3, 39, 38)}
+    joined = sorted(neighbourhood_mean(points, fields, "tk").collect())
+    assert sorted(neighbourhood_mean(points, fields, "tk", tasks=tasks).collect()) == joined and len(joined) == 4
+
+
+def test_lows_carry_their_fields_through_the_labelling(spark, sf_dir):
+    cells, fields = Q._low_cells(spark, sf_dir)
+    assert {"slp_hpa", "tk"} <= set(cells.columns) and "Generate" in plan(fields)
+    same = cells.join(fields.withColumnsRenamed({"slp_hpa": "p", "tk": "k"}), CELL, "left").where("p <=> slp_hpa AND k <=> tk")
+    assert same.count() == cells.count() == I.storm_cells(spark, sf_dir).where("pr >= 5").count()
+
+
 def test_parts_of_one_object_overlap_from_step_to_step_only(spark):
     """``t, x, part``: part 1 goes on as 2 and 3; equal cells of another object or after a gap do not count."""
     rows = [(0, 0, 1, 7), (0, 1, 1, 7), (0, 2, 1, 7), (1, 0, 2, 7), (1, 1, 2, 7), (1, 2, 3, 7), (1, 3, 3, 7), (3, 0, 4, 7), (2, 0, 5, 8)]
