@@ -29,6 +29,14 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert difference(got, con.execute(entry.oracle_sql()[name]).df()) is None
 
 
+def test_rivers_take_steps_from_the_storms_of_the_whole_chain(spark, con, sf_dir):
+    """The latitude from which rivers count lay beyond the grid, so that no step was ever excluded."""
+    name = "identify_all_storm_statistics"
+    got, want = entry.queries()[name](spark, sf_dir).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    alone = con.execute(entry.oracle_sql()["storm_statistics"]).df()
+    assert difference(got, want) is None and 0 < len(got) < len(alone)
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).columns[:3] == ["run_id", "object_id", "t"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
