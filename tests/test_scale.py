@@ -11,8 +11,9 @@ from stormgrid.operators.breakup import part_overlaps
 from stormgrid.operators.grid import measure_grid
 from stormgrid.operators.joins import cells_at
 from stormgrid.operators.overlap import bbox_min, overlap_pairs
-from stormgrid.operators.smoothing import gaussian_smooth, local_minima
-from stormgrid.plans.kinds import neighbourhood_mean, pressure_anomaly
+from stormgrid.operators import stencil
+from stormgrid.operators.smoothing import gaussian_smooth, gradients, local_minima
+from stormgrid.plans.kinds import FRONT_SLOPES, cells_around, neighbourhood_mean, pressure_anomaly
 from stormgrid.plans.storms import smooth_fields
 from stormgrid.session import stage
 
@@ -98,6 +99,29 @@ def test_front_diagnostic_moves_only_what_it_needs(spark, sf_dir):
     assert slim.exceptAll(whole.select(slim.columns)).count() == 0
 
 
+def test_slopes_and_means_share_one_pass(spark, sf_dir, monkeypatch):
+    """Slopes and pressure were filtered apart, and all dense fields were shuffled to meet again."""
+    g = measure_grid(I.base_grid(spark), regular=True)
+    df = I.dense_fields(spark, sf_dir).where("t < 4").select(*CELL, "u", "v", "tk", "slp")
+    both = pressure_anomaly(df, g, nt=4, keep=["tk"], slopes=FRONT_SLOPES)
+    text = plan(both)
+    assert exchanges(text[: text.rindex("Generate")]) == [], text
+    apart = gradients(df, FRONT_SLOPES, g, ["tk"]).join(pressure_anomaly(df.select(*CELL, "slp"), g, nt=4, keep=[]), CELL)
+    assert both.exceptAll(apart.select(both.columns)).count() == 0 and both.count() == df.count()
+    monkeypatch.setattr(stencil, "MAX_CELLS", 1000)  # several passes
+    wide = pressure_anomaly(df, g, nt=4, keep=["tk"], slopes=FRONT_SLOPES)
+    whole = wide.withColumn("anomaly", F.round("anomaly", 6)).exceptAll(both.select(wide.columns).withColumn("anomaly", F.round("anomaly", 6)))
+    assert "Join" in plan(wide) and whole.count() == 0 and wide.count() == df.count()
+
+
+def test_only_cells_in_the_boxes_of_a_step_meet_them(spark):
+    cells = spark.range(2 * 100).selectExpr("0L AS run_id", "CAST(id div 100 AS INT) AS t", "CAST(id div 10 % 10 AS INT) AS y", "CAST(id % 10 AS INT) AS x")
+    given = spark.createDataFrame([(0, 1, 2, 3), (0, 1, 4, 9)], "run_id long, t int, y int, x int")
+    found = {(r.t, r.y, r.x) for r in cells_around(cells, given, False).collect()}
+    assert found == {(1, y, x) for y in range(1, 6) for x in range(2, 10)}
+    assert cells_around(cells, given, True).count() == 5 * 10
+
+
 def test_pressure_moves_only_what_is_used(spark, sf_dir):
     """The anomaly is taken inside the tile, and the dense fields of cyclones are not written."""
     g, df = Q._lows(spark, sf_dir)
