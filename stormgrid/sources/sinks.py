@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import Grid
+from ..operators.joins import MAX_BROADCAST_PIECES
 from ..operators.regrid import grid_weights
 from ..operators.smoothing import densify
 from ..session import stage
@@ -68,9 +70,11 @@ def write_objects(cells: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 CHUNK = ["run_id", "day", "ty", "tx"]
-MANIFEST = "run_id long, day long, ty long, tx long, n long, steps int, side int"
+MANIFEST = "run_id long, day long, ty long, tx long, n long, pack string, at long, steps int, side int"
 # Bounds of batches which the driver holds; one step of the order of chunks.
 MAX_BATCHES = 1000
+# Chunks of less than this share of a batch lie with others in one file of about that share.
+FILES_PER_BATCH = 64
 
 
 @dataclass(frozen=True)
@@ -89,12 +93,13 @@ class Chunks:
 def write_chunks(cells: DataFrame, path: str, chunks: Chunks = Chunks()) -> int:
     """Labelled cells in chunks of (run, day, tile); a second call goes on where a first one ended.
 
-    A chunk is one task and one file of at most ``steps * side * side`` cells. Batches of chunks
-    are written one after the other; a chunk is listed under ``path/done`` after its batch was
-    written. Listed chunks with the same number of cells are left out the next time, others
-    replace what a broken run left. Results with other numbers of the same cells belong under
-    a new path. Batches are ranges of runs and days; if there are several, the cells of open chunks
-    are laid out in that order first, so that they are read about once. Returns the number of chunks written.
+    A chunk of at least a ``FILES_PER_BATCH``-th of ``batch_cells`` is one task and one file; smaller
+    ones share files of about that size (packs), since a file costs more than its few cells. Batches of chunks
+    are written one after the other; a chunk is listed under ``path/done`` with its pack after its batch was
+    written. Chunks last listed with the same number of cells are left out the next time, others
+    replace what a broken run left. What is not listed last is never read. Results with other numbers of the
+    same cells belong under a new path. Batches are ranges of runs and days; if there are several, the cells of
+    open chunks are laid out in that order first, so that they are read about once. Returns the number of chunks written.
     """
     spark = cells.sparkSession
     done = f"{path}/done"
@@ -105,23 +110,40 @@ def write_chunks(cells: DataFrame, path: str, chunks: Chunks = Chunks()) -> int:
     placed = chunks.place(cells)
     counted = placed.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("n"))
     # the list grows while it is read, so the open chunks are a table of their own
-    open_ = stage(counted.join(listed.select(*CHUNK, "n"), [*CHUNK, "n"], "left_anti"), "open-chunks")
+    open_ = stage(counted.join(_last_listed(listed).select(*CHUNK, "n"), [*CHUNK, "n"], "left_anti"), "open-chunks")
     total = open_.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("cells")).first()
     if not total.chunks:
         return 0
     batches = _batches(open_, min(MAX_BATCHES, math.ceil(total.cells / chunks.batch_cells)))
-    todo = placed.join(open_.select(*CHUNK), CHUNK, "left_semi")
+    share, call = chunks.batch_cells // FILES_PER_BATCH, uuid.uuid4().hex
+    small = open_.select(*CHUNK, (F.col("n") < share).alias("_small"))
+    todo = placed.join(F.broadcast(small) if total.chunks <= MAX_BROADCAST_PIECES else small, CHUNK)
     if len(batches) > 1:
         todo = _laid_out(todo, len(batches))
-    for inside in batches:
-        wanted = open_.where(inside)
-        if not wanted.isEmpty():
-            _write_batch(todo.where(inside), path)
+    for i, inside in enumerate(batches):
+        wanted = open_.where(inside).withColumn("_small", F.col("n") < share)
+        found = wanted.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.when(F.col("_small"), F.col("n"))).alias("small")).first()
+        if found.chunks:
+            pack = _pack(f"s-{call}-{i}-", math.ceil((found.small or 0) / max(share, 1)))
+            _write_batch(todo.where(inside).withColumn("pack", pack).drop("_small"), path)
             size = [F.lit(chunks.steps).alias("steps"), F.lit(chunks.side).alias("side")]
-            wanted.select(*CHUNK, "n", *size).coalesce(1).write.mode("append").parquet(done)
+            at = F.unix_micros(F.current_timestamp()).alias("at")
+            wanted.select(*CHUNK, "n", pack.alias("pack"), at, *size).coalesce(1).write.mode("append").parquet(done)
     return total.chunks
 
 
+def _pack(prefix: str, n: int) -> Column:
+    """Folder of a chunk: its own, which a later write replaces, or one of ``n`` new ones for small chunks."""
+    shared = F.concat(F.lit(prefix), F.pmod(F.xxhash64(*CHUNK), F.lit(max(n, 1))).cast("string"))
+    return F.when(F.col("_small"), shared).otherwise(F.concat_ws("-", F.lit("c"), *CHUNK))
+
+
+def _last_listed(done: DataFrame) -> DataFrame:
+    """Each listed chunk with the size and pack of its last writing."""
+    last = done.groupBy(*CHUNK).agg(F.max_by(F.struct("n", "pack"), "at").alias("_last"))
+    return last.select(*CHUNK, "_last.n", "_last.pack")
+
+
 def _batches(open_: DataFrame, n: int) -> list[Column]:
     """Conditions on run and day which cut the open chunks into at most ``n`` parts of like size."""
     at = F.col("run_id") * (1 << 24) + F.col("day")
@@ -146,21 +168,22 @@ def _laid_out(cells: DataFrame, batches: int) -> DataFrame:
 
 def _write_batch(cells: DataFrame, path: str) -> None:
     (
-        cells.repartition(*CHUNK)
-        .sortWithinPartitions(*CHUNK, "t", "y", "x")
+        cells.repartition("pack")
+        .sortWithinPartitions("pack", *CHUNK, "t", "y", "x")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy(*CHUNK)
+        .partitionBy("pack")
         .parquet(f"{path}/cells")
     )
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The cells of all finished chunks."""
-    done = spark.read.schema(MANIFEST).parquet(f"{path}/done").select(*CHUNK).distinct()
+    done = stage(_last_listed(spark.read.schema(MANIFEST).parquet(f"{path}/done")).select(*CHUNK, "pack"), "listed")
+    done = F.broadcast(done) if done.count() <= MAX_BROADCAST_PIECES else done
     cells = spark.read.parquet(f"{path}/cells")
-    return cells.withColumns({c: F.col(c).cast("long") for c in CHUNK}).join(done, CHUNK, "left_semi").drop("day", "ty", "tx")
+    return cells.join(done, [*CHUNK, "pack"], "left_semi").drop("day", "ty", "tx", "pack")
 
 
 def dense_view(cells: DataFrame, grid: Grid) -> DataFrame:

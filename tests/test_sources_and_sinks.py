@@ -230,6 +230,31 @@ def test_a_broken_write_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
     assert W.write_chunks(cells.limit(0), f"{tmp_path}/none") == 0
 
 
+def test_small_chunks_share_files(spark, tmp_path, monkeypatch):
+    """Every chunk of a few cells was a file of its own, which costs some hundred times more than the cells."""
+    cells = spark.range(6000).selectExpr("id % 40 AS run_id", "CAST(id % 48 AS INT) AS t", "0 AS y", "CAST(id % 7 AS INT) AS x", "id AS n")
+    chunks, path, write = W.Chunks(steps=12, side=8, batch_cells=64_000), f"{tmp_path}/cells", W._write_batch
+    early = cells.where("t < 30 AND run_id < 30")
+
+    def broken(batch, to):
+        write(batch, to)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(W, "_write_batch", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        W.write_chunks(early, path, chunks)
+    assert W.read_chunks(spark, path).count() == 0
+    monkeypatch.setattr(W, "_write_batch", write)
+    n = W.write_chunks(early, path, chunks)
+    assert len(list((tmp_path / "cells/cells").rglob("*.parquet"))) < n / 4
+    assert sorted(W.read_chunks(spark, path).select(*cells.columns).collect()) == sorted(early.collect())
+    # chunks which grew are read once, in their last state; a chunk may also shrink again
+    assert 0 < W.write_chunks(cells, path, chunks) < cells.selectExpr("run_id", "t div 12").distinct().count()
+    assert sorted(W.read_chunks(spark, path).select(*cells.columns).collect()) == sorted(cells.collect())
+    assert W.write_chunks(cells, path, chunks) == 0 and W.write_chunks(early.where("t >= 24"), path, chunks) > 0
+    assert W.read_chunks(spark, path).where("t BETWEEN 30 AND 35 AND run_id < 30 AND run_id % 8 < 6").count() == 0
+
+
 def test_weights_are_kept(spark, tmp_path):
     mesh = spark.createDataFrame([(y, x, 1.0 * y, 1.0 * x) for y in range(2) for x in range(2)], "y int, x int, lat double, lon double")
     one = spark.createDataFrame([(1, 0.5, 0.25)], "target_id long, lat double, lon double")
