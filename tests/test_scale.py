@@ -13,6 +13,7 @@ from stormgrid.operators.joins import cells_at
 from stormgrid.operators.overlap import bbox_min, overlap_pairs
 from stormgrid.operators import stencil
 from stormgrid.operators.smoothing import gaussian_smooth, gradients, local_minima
+from stormgrid.plans import kinds
 from stormgrid.plans.kinds import FRONT_SLOPES, cells_around, neighbourhood_mean, pressure_anomaly
 from stormgrid.plans.storms import smooth_fields
 from stormgrid.session import stage
@@ -114,6 +115,19 @@ def test_slopes_and_means_share_one_pass(spark, sf_dir, monkeypatch):
     assert "Join" in plan(wide) and whole.count() == 0 and wide.count() == df.count()
 
 
+def test_steps_too_short_for_a_river_get_no_rectangle(spark, monkeypatch):
+    """Rectangles of all the small bodies were a large part of the time of rivers."""
+    grid = measure_grid(I.base_grid(spark))
+    at = [(1, 0, y, x) for y in (3, 4) for x in range(12)] + [(2, 0, y, x) for y in (9, 10) for x in (3, 4, 5)] + [(1, 1, 0, 0)]
+    cells = spark.createDataFrame([(0, o, t, y, x, 1.0, 1.0) for o, t, y, x in at], "run_id long, object_id long, t int, y int, x int, value double, area_m2 double")
+    steps = kinds.object_stats(kinds.step_table(cells, ["run_id", "object_id"], "value"), grid)
+    measured, extent = [], kinds.object_extent
+    monkeypatch.setattr(kinds, "object_extent", lambda df: measured.append(df.select("object_id", "t").distinct().count()) or extent(df))
+    found = [tuple(r)[:3] for r in kinds.river_steps(cells, steps, grid, Q.WET).collect()]
+    assert found == [(0, 1, 0)] and measured == [1]
+    assert len(kinds.river_steps(cells, steps, grid, Q.WET, compat=True).collect()) == 2 and measured == [1, 3]
+
+
 def test_only_cells_in_the_boxes_of_a_step_meet_them(spark):
     cells = spark.range(2 * 100).selectExpr("0L AS run_id", "CAST(id div 100 AS INT) AS t", "CAST(id div 10 % 10 AS INT) AS y", "CAST(id % 10 AS INT) AS x")
     given = spark.createDataFrame([(0, 1, 2, 3), (0, 1, 4, 9)], "run_id long, t int, y int, x int")
